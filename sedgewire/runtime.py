@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -86,3 +88,31 @@ def scan_distinct_text(
 
 #: Distinct texts whose results one Python worker keeps at a time.
 CACHE_KEYS = 20_000
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    Smaller on disk than a checkpoint of wide rows; removed when the driver ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _stored.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_stored: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def drop_stored() -> None:
+    """Delete the tables written by ``store``."""
+    while _stored:
+        spark, path = _stored.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session is gone already, and with it the way to the files
+            return
