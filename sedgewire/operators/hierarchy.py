@@ -16,7 +16,8 @@ def contract(links: DataFrame, with_path: bool = False, max_rounds: int = 200) -
     Every round rakes all leaves and splices out an independent set of the
     unary chain nodes (those whose hash beats that of both neighbours), so the
     number of live links falls by a constant factor. What is left in the end
-    are links of a node to itself: the cores of circles.
+    are links of a node to itself: the cores of circles. The round's number is
+    a column, so that every round runs the same generated code.
 
     Returns (records, cores). records: node, anchor, dist, low, via, with each
     removed node's link at the time of its removal; an anchor is removed later
@@ -24,15 +25,15 @@ def contract(links: DataFrame, with_path: bool = False, max_rounds: int = 200) -
     """
     empty = F.array().cast("array<string>")
     live = links.select(
-        "node", "parent", F.lit(1).cast("long").alias("dist"), F.col("node").alias("low"), (empty if with_path else F.lit(None).cast("array<string>")).alias("via")
+        "node", "parent", F.lit(0).alias("turn"), F.lit(1).cast("long").alias("dist"), F.col("node").alias("low"), (empty if with_path else F.lit(None).cast("array<string>")).alias("via")
     )
     live = cut(live)
     kept: list[DataFrame] = []
-    for turn in range(max_rounds):
+    for _ in range(max_rounds):
         selves = live.where("node = parent")
         kept.append(selves.select("node", "parent", "dist", "low", "via", F.lit("core").alias("state")))
         moving = live.where("node <> parent")
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)), F.col(c))  # noqa: B023, E731
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.col("turn")), F.col(c))
         children = moving.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n"), F.min("node").alias("child"))
         seen = moving.join(children, "node", "left").select(
             *moving.columns,
@@ -48,13 +49,14 @@ def contract(links: DataFrame, with_path: bool = False, max_rounds: int = 200) -
             seen.join(splices, "node", "left").select(
                 "node",
                 F.when(over, F.col("s_parent")).otherwise(F.col("parent")).alias("parent"),
+                (F.col("turn") + 1).alias("turn"),
                 F.when(over, F.col("dist") + F.col("s_dist")).otherwise(F.col("dist")).alias("dist"),
                 F.when(over, F.least("low", "s_low")).otherwise(F.col("low")).alias("low"),
                 via.alias("via"),
                 "state",
             )
         )
-        kept.append(after.where("state <> 'live'"))
+        kept.append(after.where("state <> 'live'").drop("turn"))
         live = after.where("state = 'live'").drop("state")
         if live.isEmpty():
             break
