@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedgewire.llm.bpe import decode_column, encode_column
 from sedgewire.llm.mixing import mix_sources, share_report
+from sedgewire.llm.residue import find_residue, without_residue
 from sedgewire.runtime import table
 
 
@@ -27,6 +28,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(*mix_sources(table(spark, sf_dir, "documents"), targets), targets)
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_shares": p9_shares, "p9_mix": p9_mix}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_residue(table(spark, sf_dir, "documents"))
+
+
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_residue(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
 
 SQL = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
