@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedgewire.llm.cooccurrence import cooccurring
 from sedgewire.llm.bpe import decode_column, encode_column
 from sedgewire.llm.mixing import mix_sources, share_report
 from sedgewire.llm.residue import find_residue, without_residue
 from sedgewire.runtime import table
 
 
+def _cochanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits = table(spark, sf_dir, "git_commits").where("is_merge is not true")
+    return cooccurring(commits, "repo_id", "hash", "files")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cochanges(spark, sf_dir).select("repo_id", F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"))
+
+
+def p6_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cochanges(spark, sf_dir).withColumnsRenamed({"item_a": "path_a", "item_b": "path_b"})
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
@@ -40,6 +54,18 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_residue(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
+QUERIES = {"p6_found": p6_found, "p6_lift": p6_lift, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
+
+_BASKETS = """
+WITH x AS (SELECT DISTINCT repo_id, hash, p FROM (SELECT repo_id, hash, unnest(files) AS p FROM git_commits WHERE is_merge IS NOT TRUE AND repo_id IS NOT NULL AND hash IS NOT NULL) WHERE p IS NOT NULL AND p <> ''),
+n AS (SELECT repo_id, count(DISTINCT hash) AS n FROM x GROUP BY 1),
+m AS (SELECT repo_id, p, count(*) AS a FROM x GROUP BY 1, 2),
+c AS (SELECT u.repo_id, u.p AS path_a, v.p AS path_b, count(*) AS c FROM x u JOIN x v ON u.repo_id = v.repo_id AND u.hash = v.hash AND u.p < v.p GROUP BY 1, 2, 3 HAVING count(*) >= 5),
+f AS (SELECT c.*, ma.a, mb.a AS b, n.n FROM c JOIN n USING (repo_id) JOIN m ma ON ma.repo_id = c.repo_id AND ma.p = path_a JOIN m mb ON mb.repo_id = c.repo_id AND mb.p = path_b WHERE c.c * n.n >= 3 * ma.a * mb.a)
+"""
 
-SQL = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+SQL = {
+    "p6_found": _BASKETS + "SELECT repo_id, path_a, path_b FROM f",
+    "p6_lift": _BASKETS + "SELECT repo_id, path_a, path_b, c AS together, a AS count_a, b AS count_b, n AS n_baskets, round(c * n / (a * b)::DOUBLE, 6) AS lift FROM f",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
