@@ -7,12 +7,26 @@ from pyspark.sql import functions as F
 
 from sedgewire.llm.cooccurrence import cooccurring
 from sedgewire.llm.bpe import decode_column, encode_column
+from sedgewire.llm.credentials import find_credentials, redact_bodies
 from sedgewire.llm.mixing import mix_sources, share_report
 from sedgewire.llm.neardup import groups_of_keys, near_duplicates, pairs_of_keys
 from sedgewire.llm.residue import find_residue, without_residue
 from sedgewire.runtime import table
 
 
+def _credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_credentials(table(spark, sf_dir, "symbol_versions"), "symbol_version_id", "symbol_id", "body_hash", "body_source")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _credentials(spark, sf_dir).select(F.col("row_id").alias("symbol_version_id"), "line_no").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = redact_bodies(table(spark, sf_dir, "symbol_versions"), _credentials(spark, sf_dir), "symbol_version_id", "body_source")
+    return bodies.select(F.col("row_id").alias("symbol_version_id"), F.col("redacted").alias("body_source"))
+
+
 #: Least similarity of bodies that TESTDATA.md asks for.
 BODY_SIMILARITY = 0.7
 
@@ -71,7 +85,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_residue(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_lift": p6_lift, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_lift": p6_lift, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
 
 _BASKETS = """
 WITH x AS (SELECT DISTINCT repo_id, hash, p FROM (SELECT repo_id, hash, unnest(files) AS p FROM git_commits WHERE is_merge IS NOT TRUE AND repo_id IS NOT NULL AND hash IS NOT NULL) WHERE p IS NOT NULL AND p <> ''),
