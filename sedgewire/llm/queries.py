@@ -10,6 +10,7 @@ from sedgewire.llm.bpe import decode_column, encode_column
 from sedgewire.llm.credentials import find_credentials, redact_bodies
 from sedgewire.llm.mixing import mix_sources, share_report
 from sedgewire.llm.neardup import groups_of_keys, near_duplicates, pairs_of_keys
+from sedgewire.llm.provenance import label_files
 from sedgewire.llm.residue import find_residue, without_residue
 from sedgewire.runtime import table
 
@@ -56,6 +57,14 @@ def p6_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cochanges(spark, sf_dir).withColumnsRenamed({"item_a": "path_a", "item_b": "path_b"})
 
 
+def p7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "snapshots"), table(spark, sf_dir, "symbol_versions"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_labels(spark, sf_dir).where("label <> 'handwritten'").select("file_id").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
@@ -85,7 +94,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_residue(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_lift": p6_lift, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_lift": p6_lift, "p7_found": p7_found, "p7_labels": p7_labels, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
 
 _BASKETS = """
 WITH x AS (SELECT DISTINCT repo_id, hash, p FROM (SELECT repo_id, hash, unnest(files) AS p FROM git_commits WHERE is_merge IS NOT TRUE AND repo_id IS NOT NULL AND hash IS NOT NULL) WHERE p IS NOT NULL AND p <> ''),
