@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from sedgewire.operators.components import connected_components
 from sedgewire.runtime import CACHE_KEYS, store
 
-#: A token in at most CLASSES[0] sets is indexed alone, up to CLASSES[1] in pairs, up to CLASSES[2] in triples, beyond in fours.
-CLASSES = (64, 4096, 262_144)
+#: Sets that one signature should stand for, were tokens independent; and the longest combinations.
+POSTING, LONGEST = 8, 4
 _WORD = re.compile(r"[A-Za-z0-9_]+").findall
 _LONG = np.dtype("<i8")
 
@@ -85,12 +85,22 @@ def prefix_signatures(tokens: np.ndarray, df: np.ndarray, threshold: float, clas
     return out
 
 
-def similar_sets(sets: DataFrame, threshold: float = 0.8, classes: tuple[int, ...] = CLASSES) -> DataFrame:
+def token_classes(n_sets: int, posting: int = POSTING, longest: int = LONGEST) -> tuple[int, ...]:
+    """Greatest frequencies of tokens indexed alone, in pairs, in triples, ...
+
+    k tokens that are each in f of n sets are together in f^k / n^(k-1) of them
+    if independent; the class's bound is the f for which that is ``posting``.
+    """
+    return tuple(max(posting, int((posting * max(n_sets, 1) ** (k - 1)) ** (1 / k))) for k in range(1, longest))
+
+
+def similar_sets(sets: DataFrame, threshold: float = 0.8, classes: tuple[int, ...] | None = None) -> DataFrame:
     """(id_a, id_b, overlap, similarity) of all pairs of distinct sets with Jaccard similarity >= threshold.
 
     ``sets``: id (bigint, unique), words (array<bigint>, distinct). Exact: the
     signatures lose no pair and every candidate is verified on the whole sets.
     """
+    classes = classes or token_classes(sets.count())
     tokens = sets.select("id", F.explode("words").alias("w"))
     frequency = tokens.groupBy("w").agg(F.count("*").alias("df"))
     ordered = tokens.join(frequency, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("t")).select("id", "t.w", "t.df")
@@ -116,7 +126,7 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, classes: tuple[int, ..
     return checked.withColumn("similarity", F.col("overlap") / (F.col("both") - F.col("overlap"))).where(F.col("similarity") >= threshold).select("id_a", "id_b", "overlap", "similarity")
 
 
-def near_duplicates(rows: DataFrame, key: str, text: str, threshold: float = 0.8, classes: tuple[int, ...] = CLASSES) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(rows: DataFrame, key: str, text: str, threshold: float = 0.8, classes: tuple[int, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the texts of ``rows``.
 
     members: key, id - texts with the same words have one id (a 64-bit hash of
