@@ -93,8 +93,7 @@ def _dir_sign(name: Column, parent: Column) -> dict[str, Column]:
     package = up.isin("vendor", "external", "deps", "extern", "ext", "libs", "contrib", "dependencies")
     return {
         "vendored": F.when(strong | (version & package) | (up == "vendor"), CERTAIN).when(version | package, SIGN).when(low == "vendor", HINT).otherwise(0.0),
-        "generated": F.when(low.isin("generated", "__generated__", "generated-sources", "generated-src", "autogen", "autogenerated", "gen-src"), CERTAIN).when(low == "gen", HINT).otherwise(0.0),
-        "minified": F.when(low.isin("dist"), HINT).otherwise(0.0),
+        "generated": F.when(low.isin("generated", "__generated__", "generated-sources", "generated-src", "autogen", "autogenerated", "gen-src") | ((low == "auto") & (up == "migrations")), CERTAIN).when(low == "dist", SIGN).when(low == "gen", HINT).otherwise(0.0),
     }
 
 
