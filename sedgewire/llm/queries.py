@@ -10,6 +10,7 @@ from sedgewire.llm.bpe import decode_column, encode_column
 from sedgewire.llm.credentials import find_credentials, redact_bodies
 from sedgewire.llm.mixing import mix_sources, share_report
 from sedgewire.llm.neardup import groups_of_keys, near_duplicates, pairs_of_keys
+from sedgewire.llm.parsing import acceptance, check_files
 from sedgewire.llm.provenance import label_files
 from sedgewire.llm.residue import find_residue, without_residue
 from sedgewire.runtime import table
@@ -28,6 +29,18 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bodies.select(F.col("row_id").alias("symbol_version_id"), F.col("redacted").alias("body_source"))
 
 
+def p3_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check_files(table(spark, sf_dir, "file_texts"), table(spark, sf_dir, "files"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_errors(spark, sf_dir).where("not valid").select("file_id").distinct()
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acceptance(p3_errors(spark, sf_dir), table(spark, sf_dir, "files"), table(spark, sf_dir, "snapshots"))
+
+
 #: Least similarity of bodies that TESTDATA.md asks for.
 BODY_SIMILARITY = 0.7
 
@@ -94,7 +107,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_residue(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_lift": p6_lift, "p7_found": p7_found, "p7_labels": p7_labels, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_lift": p6_lift, "p7_found": p7_found, "p7_labels": p7_labels, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
 
 _BASKETS = """
 WITH x AS (SELECT DISTINCT repo_id, hash, p FROM (SELECT repo_id, hash, unnest(files) AS p FROM git_commits WHERE is_merge IS NOT TRUE AND repo_id IS NOT NULL AND hash IS NOT NULL) WHERE p IS NOT NULL AND p <> ''),
