@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.runtime import cut
+from sedgewire.runtime import cut, cut_counting
 
 
 def contract(links: DataFrame, with_path: bool = False, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +35,7 @@ def contract(links: DataFrame, with_path: bool = False, max_rounds: int = 200) -
         moving = live.where("node <> parent")
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.col("turn")), F.col(c))
         children = moving.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n"), F.min("node").alias("child"))
-        seen = moving.join(children, "node", "left").select(
+        seen = moving.join(children.hint("merge"), "node", "left").select(
             *moving.columns,
             "child",
             F.when(F.col("n").isNull(), "raked").when((F.col("n") == 1) & (rank("node") > rank("parent")) & (rank("node") > rank("child")), "spliced").otherwise("live").alias("state"),
@@ -45,8 +45,8 @@ def contract(links: DataFrame, with_path: bool = False, max_rounds: int = 200) -
         )
         over = F.col("s_node").isNotNull() & (F.col("state") == "live")
         via = F.when(over, F.concat("via", F.array("s_node"), "s_via")).otherwise(F.col("via")) if with_path else F.col("via")
-        after = cut(
-            seen.join(splices, "node", "left").select(
+        after, left = cut_counting(
+            seen.join(splices.hint("merge"), "node", "left").select(
                 "node",
                 F.when(over, F.col("s_parent")).otherwise(F.col("parent")).alias("parent"),
                 (F.col("turn") + 1).alias("turn"),
@@ -54,11 +54,12 @@ def contract(links: DataFrame, with_path: bool = False, max_rounds: int = 200) -
                 F.when(over, F.least("low", "s_low")).otherwise(F.col("low")).alias("low"),
                 via.alias("via"),
                 "state",
-            )
+            ),
+            F.col("state") == "live",
         )
         kept.append(after.where("state <> 'live'").drop("turn"))
         live = after.where("state = 'live'").drop("state")
-        if live.isEmpty():
+        if not left:
             break
     else:
         raise RuntimeError(f"tree contraction did not end within {max_rounds} rounds")
@@ -80,7 +81,8 @@ def hierarchy(rows: DataFrame, node: str, parent: str, with_path: bool = False)
 
     Recorded contractions are reversed by pointer doubling over the records,
     whose nesting is as deep as the number of contraction rounds, i.e.
-    logarithmic in the number of nodes.
+    logarithmic in the number of nodes. Joins of the rounds are merge joins, so
+    that no round keeps a table on the driver.
     """
     nodes = cut(rows.where(F.col(node).isNotNull()).select(F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("parent")))
     links = nodes.join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi")
@@ -90,17 +92,18 @@ def hierarchy(rows: DataFrame, node: str, parent: str, with_path: bool = False)
         up = at.select(F.col("node").alias("anchor"), F.col("anchor").alias("u_anchor"), F.col("dist").alias("u_dist"), F.col("via").alias("u_via"))
         step = F.col("u_anchor").isNotNull()
         via = F.when(step, F.concat("via", F.array("anchor"), "u_via")).otherwise(F.col("via")) if with_path else F.col("via")
-        at = cut(
-            at.join(up, "anchor", "left").select(
+        at, moved = cut_counting(
+            at.join(up.hint("merge"), "anchor", "left").select(
                 "node",
                 F.coalesce("u_anchor", "anchor").alias("anchor"),
                 F.when(step, F.col("dist") + F.col("u_dist")).otherwise(F.col("dist")).alias("dist"),
                 "low",
                 via.alias("via"),
                 step.alias("moved"),
-            )
+            ),
+            F.col("moved"),
         )
-        if at.where("moved").isEmpty():
+        if not moved:
             break
     core = cores.select(F.col("node").alias("end"), F.col("low").alias("c_low"))
     ends = nodes.select("node").join(at.select("node", "anchor", "dist", "via"), "node", "left").withColumn("end", F.coalesce("anchor", "node"))

@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counting(df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+    """``cut`` that also counts the rows for which ``what`` holds, in the same job."""
+    ensure_checkpoint_dir(df.sparkSession)
+    seen = Observation()
+    out = df.observe(seen, F.count_if(what).alias("n")).checkpoint(eager=True)
+    return out, seen.get["n"]
+
+
 def scan_distinct_text(
     df: DataFrame,
     key: str,
