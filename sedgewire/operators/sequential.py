@@ -30,24 +30,29 @@ def linearize(parents: dict[str, list[str]]) -> dict[str, tuple[list[str], bool]
     """Method resolution order of every class and whether it is consistent; a class on a circle has itself alone, an inconsistent one its depth-first order."""
     done: dict[str, tuple[list[str], bool]] = {}
 
-    def order(c: str, above: tuple[str, ...]) -> list[str] | None:
-        if c in above:
-            return None
-        if c in done:
-            return done[c][0]
-        ups = [order(p, (*above, c)) for p in parents.get(c, [])]
-        if any(u is None for u in ups):
-            done[c] = ([c], False)
-            return None if c in above else done[c][0]
-        merged = merge_orders([*ups, parents.get(c, [])])
-        if merged is None:
-            done[c] = (list(dict.fromkeys([c, *(x for u in ups for x in u)])), False)
-        else:
-            done[c] = ([c, *merged], True)
+    def circular(c: str) -> bool:
+        met, todo = set(), list(parents.get(c, []))
+        while todo:
+            at = todo.pop()
+            if at == c:
+                return True
+            if at not in met:
+                met.add(at)
+                todo += parents.get(at, [])
+        return False
+
+    def order(c: str) -> list[str]:
+        if c not in done:
+            if circular(c):
+                done[c] = ([c], False)
+                return [c]
+            ups = [order(p) for p in parents.get(c, [])]
+            merged = merge_orders([*ups, parents.get(c, [])])
+            done[c] = (list(dict.fromkeys([c, *(x for u in ups for x in u)])), False) if merged is None else ([c, *merged], True)
         return done[c][0]
 
     for c in sorted(parents):
-        order(c, ())
+        order(c)
     return done
 
 
