@@ -53,3 +53,23 @@ def band_neighbours(queries: DataFrame, signatures: DataFrame, key: str, signatu
     right = signatures.select(key, F.col(signature).alias("sb"))
     scored = pairs.join(left, "query").join(right, key).select("query", key, H.estimated_jaccard(F.col("sa"), F.col("sb")).alias("similarity"))
     return scored.where(F.col("similarity") >= least)
+
+
+# Weights of the views of a symbol.
+VIEW_WEIGHTS = {"name": 0.25, "body": 0.30, "signature": 0.20, "behavior": 0.15, "contract": 0.10}
+
+
+def multi_view(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(a, b, similarity): cosines of the views that both documents have, by their weights; 0 without a common view.
+
+    vectors: doc, view, token, w.
+    """
+    views = vectors.select("doc", "view").distinct()
+    common = pairs.join(views.select(F.col("doc").alias("a"), "view"), "a").join(views.select(F.col("doc").alias("b"), "view"), ["b", "view"])
+    left = vectors.select(F.col("doc").alias("a"), "view", "token", F.col("w").alias("wa"))
+    right = vectors.select(F.col("doc").alias("b"), "view", "token", F.col("w").alias("wb"))
+    dots = common.join(left, ["a", "view"]).join(right, ["b", "view", "token"]).groupBy("a", "b", "view").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    weights = F.create_map(*[F.lit(x) for kv in VIEW_WEIGHTS.items() for x in kv])
+    scored = common.join(dots, ["a", "b", "view"], "left").withColumn("weight", F.try_element_at(weights, F.col("view")))
+    total = scored.groupBy("a", "b").agg((F.sum(F.col("weight") * F.least(F.lit(1.0), F.coalesce("dot", F.lit(0.0)))) / F.sum("weight")).alias("s"))
+    return pairs.join(total, ["a", "b"], "left").select("a", "b", F.coalesce("s", F.lit(0.0)).alias("similarity"))

@@ -65,3 +65,9 @@ def test_signature_similarity(spark):
     s = lambda a, b: one(spark, T.signature_similarity(F.lit(a), F.lit(b)))
     assert s("f(a: X): Y", "f(a: X): Y") == 1.0 and s("", "f()") == 0.0 and 0 < s("f(a: X): Y", "g(a: X, b: Z): Y") < 1
     assert rows(spark.range(0).select("id")) == []
+
+
+def test_multi_view(spark):
+    pairs = spark.createDataFrame([("x", "y"), ("x", "z")], "a string, b string")
+    vectors = spark.createDataFrame([("x", "body", "t", 1.0), ("y", "body", "t", 1.0), ("z", "name", "t", 1.0)], "doc string, view string, token string, w double")
+    assert rows(V.multi_view(pairs, vectors)) == [("x", "y", 1.0), ("x", "z", 0.0)]
