@@ -147,9 +147,9 @@ def propagate(evidence: DataFrame) -> DataFrame:
     One aggregation or join per level of the deepest path; nodes are keyed by
     (tree, directory), so a large tree is spread like any other rows.
     """
-    base = cut(evidence.select("tree", "path", _parent("path").alias("dir"), *_named(_vector("e"), "b")))
+    base = cut(evidence.select("tree", "path", _parent("path").alias("dir"), *_named(_vector("e"), "b"), *_named(_to_parent(_vector("e"), FILE_COMPATIBILITY), "u")))
     levels = F.size(F.filter(F.split("dir", "/"), lambda x: x != ""))
-    child = base.select("tree", "dir", *_named(_to_parent(_vector("b"), FILE_COMPATIBILITY), "m"))
+    child = base.select("tree", "dir", *_named(_vector("u"), "m"))
     leaf = cut(child.groupBy("tree", "dir").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(5)]).withColumn("level", levels))
     deepest = leaf.agg(F.max("level")).first()[0]
     if deepest is None:
@@ -177,9 +177,8 @@ def propagate(evidence: DataFrame) -> DataFrame:
         full = cut(here.join(p, ["tree", "up"], "left").select("tree", "dir", *_named([F.coalesce(F.col(f"b{i}") + m, F.col(f"b{i}")) for i, m in enumerate(down)], "b")))
         fulls.append(full)
     dirs = reduce(DataFrame.unionByName, fulls).select("tree", "dir", *_named(_vector("b"), "p"))
-    messages = base.withColumns({f"u{i}": c for i, c in enumerate(_to_parent(_vector("b"), FILE_COMPATIBILITY))})
     cavity = [F.col(f"p{i}") - F.col(f"u{i}") for i in range(5)]
-    beliefs = messages.join(dirs, ["tree", "dir"]).select("tree", "path", *_named([F.col(f"b{i}") + m for i, m in enumerate(_to_child(cavity, FILE_COMPATIBILITY))], "b"))
+    beliefs = base.join(dirs, ["tree", "dir"]).select("tree", "path", *_named([F.col(f"b{i}") + m for i, m in enumerate(_to_child(cavity, FILE_COMPATIBILITY))], "b"))
     best = F.greatest(*_vector("b"))
     label = reduce(lambda w, i: w.when(F.col(f"b{i}") == best, LABELS[i]), range(1, 5), F.when(F.col("b0") == best, LABELS[0]))
     return beliefs.select("tree", "path", label.alias("label"))
