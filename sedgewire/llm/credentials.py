@@ -84,7 +84,7 @@ _NOTE = re.compile(r"(?<![\w])((?:[^\W\d_][\w-]*\s+){0,3}[^\W\d_][\w-]*)\s*(?:=|
 _NOTE_LOGIN = re.compile(r"\b(?:login|logon|account|user)\b:?\s+[\w.@-]+\s*(?:/|:|\bpw\b|\bpass(?:word)?\b)\s*([^\s\"'`]{6,})", re.I)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[_\W]+")
 _MASKED = re.compile(
-    r"(?i)x{4,}|\*{3,}|\.{4,}|replace|change[-_ ]?(?:me|it|this)|example|dummy|placeholder|\byour\b|your[-_]|insert|todo|fixme|not[-_ ]?a[-_ ]?real|\bfake|sample|redacted|masked|hidden\b|secret here|here>|"
+    r"(?i)x{4,}|\*{3,}|\.{4,}|(?<![a-z0-9])(?:replace|example|dummy|placeholder|your|insert|todo|fixme|fake|sample|redacted|masked|hidden)(?![a-z0-9]*\d)|change[-_ ]?(?:me|it|this)|example(?:key)?$|not[-_ ]?a[-_ ]?real|secret here|here>|"
     r"^<.*>$|\{\{.*\}\}|^\$\{?\w|^%\(?\w|^%\w+%$|^\{\w*\}$|^(?:vault|ssm|secrets?|env|file|op|aws|gcp|azure|kms|arn|keychain|sops|doppler|keyvault|ref|sm)[:/]|^\$\(|^(?:none|null|nil|undefined|true|false|test|password|passwd|secret|token|pass|admin|root|user)$|^process\.|^os\.|getenv"
 )
 _HEX = re.compile(r"^[0-9a-fA-F]+$")
@@ -122,6 +122,8 @@ def looks_secret(value: str) -> bool:
     """A password-like or random value: no placeholder, no plain words, no sentence, path or address."""
     if is_placeholder(value) or value.count(" ") > 1 or "://" in value:
         return False
+    if _KNOWN.match(value):
+        return True
     if value.isdigit():
         return len(value) >= 8
     words = [w for w in re.split(r"[-_./:# ]", value) if w]
@@ -235,7 +237,9 @@ def candidates(text: str) -> list[tuple[int, str, str]]:
             between = text[previous[1] : start]
             if "," not in between or _ENV_BEFORE.search(text[max(0, previous[0] - 40) : previous[0]]):
                 names.append(previous[2])
-        if any(names_credential(n) for n in names):
+        if end - start > len(value) + 2 and _KNOWN.match(value) and not is_placeholder(value):
+            add(first_line_at, value, "sure")  # joined from several literals
+        elif any(names_credential(n) for n in names):
             if looks_secret(value):
                 add(first_line_at, value, "named")
         elif looks_random(value) and value_format(value):
@@ -259,20 +263,27 @@ def candidates(text: str) -> list[tuple[int, str, str]]:
 
 
 def _analyse(text: str) -> list[tuple]:
-    return [(at, value, kind, value_format(value) if kind != "sure" else None) for at, value, kind in candidates(text)]
+    lines = text.split("\n")
+    return [(at, value, kind, value_format(value) if kind != "sure" else None, lines[at - 1].replace(value, "").strip()[:200]) for at, value, kind in candidates(text)]
 
 
 def find_candidates(rows: DataFrame, row_id: str, owner: str, key: str, text: str) -> DataFrame:
-    """(row_id, owner, line_no, value, kind, format) of everything that may be a credential."""
+    """(row_id, owner, line_no, value, kind, format, context) of everything that may be a credential; the context is the rest of its line."""
     named = rows.select(F.col(row_id).alias("row_id"), F.col(owner).alias("owner"), F.col(key).alias("key"), F.col(text).alias("text"))
     return scan_distinct_text(
-        named, "key", "text", ["row_id", "owner"], _analyse, [("line_no", pa.int64()), ("value", pa.string()), ("kind", pa.string()), ("format", pa.string())], "row_id string, owner string, line_no bigint, value string, kind string, format string"
+        named, "key", "text", ["row_id", "owner"], _analyse, [("line_no", pa.int64()), ("value", pa.string()), ("kind", pa.string()), ("format", pa.string()), ("context", pa.string())], "row_id string, owner string, line_no bigint, value string, kind string, format string, context string"
     )
 
 
 def confirm(found: DataFrame, most_owners: int = MOST_OWNERS, format_values: int = FORMAT_VALUES) -> DataFrame:
-    """Values that are credentials: those few owners share, of a listed or a learned format or under a credential's name."""
-    owners = found.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
+    """Values that are credentials: those few owners share, of a listed or a learned format or under a credential's name.
+
+    Copies of one body have many owners too, but hold the value in one line of
+    code; a placeholder stands in many different ones. So a value is dropped if
+    both its owners and its lines are more than ``most_owners``.
+    """
+    count = lambda c: found.select("value", c).distinct().groupBy("value").agg(F.count("*").alias(c))
+    owners = count("owner").join(count("context"), "value").select("value", F.least("owner", "context").alias("owners"))
     kinds = found.groupBy("value").agg(F.bool_or(F.col("kind") == "sure").alias("sure"), F.bool_or(F.col("kind") == "named").alias("named"), F.max("format").alias("format"))
     values = kinds.join(owners, "value").where(F.col("owners") <= most_owners)
     formats = values.where("named and format is not null").groupBy("format").agg(F.count("*").alias("n")).where(F.col("n") >= format_values).select("format", F.lit(True).alias("learned"))
