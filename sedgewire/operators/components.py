@@ -17,9 +17,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     rows. Null ends are left out, loops keep their node as a component of its
     own, repeated and reversed edges count once, an empty table gives no rows.
     """
-    pairs = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
+    pairs = cut(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    live = cut(pairs.where("u <> v"))
+    live = pairs.where("u <> v")
     before = None
     for _ in range(max_rounds):
         # large star: all greater neighbours of a node point at its smallest neighbour
