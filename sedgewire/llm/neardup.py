@@ -150,6 +150,7 @@ def pairs_of_keys(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def groups_of_keys(members: DataFrame, links: DataFrame) -> DataFrame:
     """(key, group_id, n_links): the group is named by its smallest key; n_links counts links to other word sets."""
+    links = store(links.select("id_a", "id_b"))
     parts = connected_components(links, "id_a", "id_b")
     degree = links.select(F.col("id_a").alias("id")).union(links.select("id_b")).groupBy("id").agg(F.count("*").alias("n"))
     placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left").select("key", F.coalesce("component", "id").alias("c"), F.coalesce("n", F.lit(0)).alias("n_links"))
