@@ -1,9 +1,10 @@
 """Template residue, filler and error-page text in documents.
 
 Message templates are mined with a fixed-depth prefix tree over all sentences
-of all documents, each template is classified once and its verdict goes to
-every sentence of the template. Slots left open and sections left blank are
-looked for in each record by itself.
+of all documents, the constant text of each template is classified once and
+its verdict goes to every sentence of the template; every distinct sentence is
+classified too, since a template's variable words may be the telling ones.
+Slots left open and sections left blank are looked for in each record by itself.
 """
 
 from __future__ import annotations
@@ -238,13 +239,11 @@ def find_residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows = store(documents.select(doc_id, documents[text].alias("_text")).mapInArrow(run, schema))
     sentences = rows.where("kind = 'sentence'").groupBy("sentence").agg(F.count("*").alias("n"))
     mined = mine_templates(sentences)
-    templates = mined.groupBy("template").agg(F.min("sentence").alias("least"), F.max("sentence").alias("most"))
-    judged = _classified(templates, ["least", "most"]).where("least_verdict is not null or most_verdict is not null")
-    one = F.col("least_verdict").eqNullSafe(F.col("most_verdict"))
-    hit = mined.join(judged.select("template", F.when(one, F.col("least_verdict")).alias("verdict")), "template")
-    # a template whose two ends are judged differently varies where it matters: its sentences are judged one by one
-    single = _classified(hit.where("verdict is null").select("sentence"), ["sentence"]).select("sentence", F.col("sentence_verdict").alias("verdict"))
-    verdicts = hit.where("verdict is not null").select("sentence", "verdict").unionByName(single.where("verdict is not null")).unionByName(_made_up_sentences(sentences))
+    # a template without <*> is its one sentence; the sentences of any other may differ where it matters, so each is judged beside its template
+    templates = _classified(mined.where("contains(template, '<*>')").select("template").distinct(), ["template"]).where("template_verdict is not null")
+    by_constants = mined.join(templates, "template").select("sentence", F.col("template_verdict").alias("verdict"))
+    single = _classified(sentences.select("sentence"), ["sentence"]).where("sentence_verdict is not null").select("sentence", F.col("sentence_verdict").alias("verdict"))
+    verdicts = by_constants.unionByName(single).unionByName(_made_up_sentences(sentences))
     by_template = rows.where("kind = 'sentence'").join(verdicts, "sentence").select(doc_id, F.col("verdict").alias("kind"))
     return by_template.unionByName(rows.where("kind <> 'sentence'").select(doc_id, "kind")).distinct()
 

@@ -287,3 +287,10 @@ def test_residue_tables(spark):
     assert {tuple(r) for r in found.collect()} == {(1, "error_page"), (None, "error_page"), *((10 + i, "filler") for i in range(5))}
     assert sorted(r["doc_id"] for r in residue.without_residue(df(spark, data, schema)).where("doc_id is not null").collect()) == [2, 3, 4]
     assert residue.find_residue(df(spark, [], schema)).count() == 0
+
+
+def test_residue_inside_a_leaf(spark):
+    """An error page whose leaf holds ordinary sentences before and after it in byte order."""
+    ends = ["You do not a b c d e", "You do not zz b c d e", *(f"You do not m{i}x b{i}y c{i}z d{i}w e{i}v" for i in range(9))]
+    data = [(i, t) for i, t in enumerate(ends)] + [(99, "You do not have permission to view this")]
+    assert {tuple(r) for r in residue.find_residue(df(spark, data, "doc_id long, text string")).collect()} == {(99, "error_page")}
