@@ -36,7 +36,11 @@ def check_files(texts: DataFrame, files: DataFrame) -> DataFrame:
                 source = text.as_py()
                 take.append(i)
                 languages.append(language)
-                errors.append([{"line": source.count("\n", 0, e.at) + 1, "message": e.message} for e in syntax_errors(source, language)])
+                found, line, at = [], 1, 0
+                for e in sorted(syntax_errors(source, language)):  # lines are counted on from error to error
+                    line, at = line + source.count("\n", at, e.at), e.at
+                    found.append({"line": line, "message": e.message})
+                errors.append(found)
             index = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("file_id").take(index), batch.column("path").take(index), pa.array(languages, pa.string()), pa.array(errors, _FAULTS)], names=["file_id", "path", "language", "errors"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from sedgewire.llm.syntax.core import MOST_FAULTS, Fault, Unexpected
+from sedgewire.llm.syntax.core import Fault, Unexpected
 
 # Reserved words, and those that cannot begin a command.
 RESERVED = frozenset("if then elif else fi for while until do done case esac function select in time { } ! [[ ]] coproc".split())
@@ -101,8 +101,7 @@ class ShellParser:
                 self.and_or()
                 self.separator(top=True)
             except Unexpected as e:
-                if len(self.faults) < MOST_FAULTS:
-                    self.faults.append(Fault(min(self.i, self.n), str(e)))
+                self.faults.append(Fault(min(self.i, self.n), str(e)))
                 self.here, self.depth = [], 0
                 end = self.s.find("\n", max(self.i, at))
                 self.i = self.n if end < 0 else end + 1

@@ -294,3 +294,13 @@ def test_residue_inside_a_leaf(spark):
     ends = ["You do not a b c d e", "You do not zz b c d e", *(f"You do not m{i}x b{i}y c{i}z d{i}w e{i}v" for i in range(9))]
     data = [(i, t) for i, t in enumerate(ends)] + [(99, "You do not have permission to view this")]
     assert {tuple(r) for r in residue.find_residue(df(spark, data, "doc_id long, text string")).collect()} == {(99, "error_page")}
+
+
+def test_all_errors_are_kept(spark):
+    bad = {"a.ts": "x = ;\n", "a.js": "x = ;\n", "a.go": "func ) {}\n", "a.java": "class ) {}\n", "a.sh": "fi\n"}
+    head = {"a.go": "package p\n"}
+    texts = df(spark, [(p, head.get(p, "") + line * 300) for p, line in bad.items()], "file_id string, source_text string")
+    got = {r["file_id"]: (r["n_errors"], [e["line"] for e in r["errors"]]) for r in parsing.check_files(texts, df(spark, [(p, p) for p in bad], "file_id string, path string")).collect()}
+    for p in bad:
+        first = 2 if p in head else 1
+        assert got[p][0] >= 300 and sorted(set(got[p][1])) == list(range(first, first + 300)), p
