@@ -32,19 +32,20 @@ def touched(commits: DataFrame, group: str = "repo_id", commit: str = "hash", fi
     return rows.where("g is not null and c is not null and file is not null and file <> ''").distinct()
 
 
-def co_changes(items: DataFrame, dates: DataFrame, most_per_commit: int = 50, least: int = 2) -> DataFrame:
+def co_changes(items: DataFrame, dates: DataFrame, least: int = 2) -> DataFrame:
     """Pairs (g, a, b) of items changed together, with count, Jaccard, first and last date.
 
-    items: g, c, file; dates: g, c, date. A commit gives pairs of its first
-    ``most_per_commit`` items by name only (a parameter of the feature, as the
-    change counts behind the Jaccard use all of them).
+    items: g, c, file; dates: g, c, date. All items of a commit give pairs;
+    those with fewer than ``least`` changes cannot be in one and are left out
+    first. Pairs are made one first item at a time, so that a large commit is
+    never held as a whole array of pairs.
     """
-    w = Window.partitionBy("g", "c").orderBy("file")
-    few = items.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most_per_commit).groupBy("g", "c").agg(F.array_sort(F.collect_list("file")).alias("fs"))
-    pair = F.flatten(F.transform("fs", lambda a, i: F.transform(F.slice("fs", i + 2, F.size("fs")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    pairs = few.where(F.size("fs") > 1).join(dates, ["g", "c"]).select("g", "date", F.explode(pair).alias("p")).select("g", "date", "p.*")
-    counted = pairs.groupBy("g", "a", "b").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date")).where(F.col("n") >= least)
     total = items.groupBy("g", "file").agg(F.count("*").alias("t"))
+    often = total.where(F.col("t") >= least).select("g", "file")
+    sets = items.join(often, ["g", "file"]).groupBy("g", "c").agg(F.array_sort(F.collect_list("file")).alias("fs")).where(F.size("fs") > 1)
+    firsts = sets.join(dates, ["g", "c"]).select("g", "date", "fs", F.posexplode("fs").alias("i", "a"))
+    pairs = firsts.select("g", "date", "a", F.explode(F.slice("fs", F.col("i") + 2, F.size("fs"))).alias("b"))
+    counted = pairs.groupBy("g", "a", "b").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date")).where(F.col("n") >= least)
     side = lambda x: total.select("g", F.col("file").alias(x), F.col("t").alias(f"n_{x}"))
     both = counted.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"])
     return both.select("g", "a", "b", "n", "n_a", "n_b", (F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))).alias("jaccard"), "first_date", "last_date")

@@ -62,3 +62,13 @@ def test_stream_counts_survive_a_second_run(spark, tmp_path):
         traces.stream_counts(spark, src, "caller string, callee string", out, ck)
     total = spark.read.parquet(out).groupBy("caller", "callee").agg(F.sum("n").alias("n"))
     assert rows(total) == [("a", "b", 2), ("b", "c", 1)]
+
+
+def test_co_changes_of_a_large_commit(spark):
+    """All items of a commit pair, not only its first 50 by name."""
+    files = [f"f{i:03}" for i in range(120)]
+    items = spark.createDataFrame([("g", c, f) for c in "12" for f in files] + [("g", "3", "f118"), ("g", "3", "once")], "g string, c string, file string")
+    dates = spark.createDataFrame([("g", c, datetime(2024, 1, int(c))) for c in "123"], "g string, c string, date timestamp")
+    got = {(a, b): (n, j) for a, b, n, j in rows(temporal.co_changes(items, dates).select("a", "b", "n", "jaccard"))}
+    assert len(got) == 120 * 119 // 2 and got["f000", "f001"] == (2, 1.0)
+    assert got["f117", "f119"] == (2, 1.0) and got["f118", "f119"] == (2, 2 / 3)
