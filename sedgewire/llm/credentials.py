@@ -9,6 +9,7 @@ and every body is read again for the confirmed values with an automaton.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -152,8 +153,12 @@ def value_format(value: str) -> str | None:
     return m[1] if m and not _BENIGN_PREFIX.match(value) and entropy(m[2]) > 3 else None
 
 
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def candidates(text: str) -> list[tuple[int, str, str]]:
-    """(line, value, kind) of what may be a credential; kind: sure, named or shaped (to be confirmed by its format)."""
+    """(line, value, kind) of what may be a credential; kind: listed (private keys and listed formats), sure, named or shaped (to be confirmed by its format)."""
     found: dict[tuple[int, str], str] = {}
     ends = [m.start() for m in re.finditer("\n", text)]
 
@@ -169,17 +174,17 @@ def candidates(text: str) -> list[tuple[int, str, str]]:
 
     def add(at: int, value: str, kind: str) -> None:
         key = (line(at), value)
-        if kind == "sure" or found.get(key) != "sure":
+        if kind == "listed" or found.get(key) != "listed" and (kind == "sure" or found.get(key) != "sure"):
             if kind == "shaped" and key in found:
                 return
             found[key] = kind
 
     for m in _PEM.finditer(text):
         if not is_placeholder(m[1].strip()):
-            add(m.start(), m[0].split("-----")[1] + ":" + re.sub(r"\\[nr]|[\s\"'+,;\\]", "", m[1])[:64], "sure")
+            add(m.start(), m[0].split("-----")[1] + ":" + _digest(re.sub(r"\\[nr]|[\s\"'+,;\\]", "", m[1])), "listed")
     for m in _KNOWN.finditer(text):
         if not is_placeholder(m[0]):
-            add(m.start(), m[0], "sure")
+            add(m.start(), m[0], "listed")
     for m in _URL_LOGIN.finditer(text):
         if not is_placeholder(m[2]) and not re.search(r"[{}<>$]|^%s", m[2]):
             add(m.start(2), m[2], "sure")
@@ -238,7 +243,7 @@ def candidates(text: str) -> list[tuple[int, str, str]]:
             if "," not in between or _ENV_BEFORE.search(text[max(0, previous[0] - 40) : previous[0]]):
                 names.append(previous[2])
         if end - start > len(value) + 2 and _KNOWN.match(value) and not is_placeholder(value):
-            add(first_line_at, value, "sure")  # joined from several literals
+            add(first_line_at, value, "listed")  # joined from several literals
         elif any(names_credential(n) for n in names):
             if looks_secret(value):
                 add(first_line_at, value, "named")
@@ -264,11 +269,11 @@ def candidates(text: str) -> list[tuple[int, str, str]]:
 
 def _analyse(text: str) -> list[tuple]:
     lines = text.split("\n")
-    return [(at, value, kind, value_format(value) if kind != "sure" else None, lines[at - 1].replace(value, "").strip()[:200]) for at, value, kind in candidates(text)]
+    return [(at, value, kind, value_format(value) if kind not in ("listed", "sure") else None, _digest(lines[at - 1].replace(value, "").strip())) for at, value, kind in candidates(text)]
 
 
 def find_candidates(rows: DataFrame, row_id: str, owner: str, key: str, text: str) -> DataFrame:
-    """(row_id, owner, line_no, value, kind, format, context) of everything that may be a credential; the context is the rest of its line."""
+    """(row_id, owner, line_no, value, kind, format, context) of everything that may be a credential; the context is a hash of the rest of its line."""
     named = rows.select(F.col(row_id).alias("row_id"), F.col(owner).alias("owner"), F.col(key).alias("key"), F.col(text).alias("text"))
     return scan_distinct_text(
         named, "key", "text", ["row_id", "owner"], _analyse, [("line_no", pa.int64()), ("value", pa.string()), ("kind", pa.string()), ("format", pa.string()), ("context", pa.string())], "row_id string, owner string, line_no bigint, value string, kind string, format string, context string"
@@ -280,12 +285,13 @@ def confirm(found: DataFrame, most_owners: int = MOST_OWNERS, format_values: int
 
     Copies of one body have many owners too, but hold the value in one line of
     code; a placeholder stands in many different ones. So a value is dropped if
-    both its owners and its lines are more than ``most_owners``.
+    both its owners and its lines are more than ``most_owners``. Private keys
+    and listed formats are no placeholders, however many hold them.
     """
     count = lambda c: found.select("value", c).distinct().groupBy("value").agg(F.count("*").alias(c))
     owners = count("owner").join(count("context"), "value").select("value", F.least("owner", "context").alias("owners"))
-    kinds = found.groupBy("value").agg(F.bool_or(F.col("kind") == "sure").alias("sure"), F.bool_or(F.col("kind") == "named").alias("named"), F.max("format").alias("format"))
-    values = kinds.join(owners, "value").where(F.col("owners") <= most_owners)
+    kinds = found.groupBy("value").agg(F.bool_or(F.col("kind") == "listed").alias("listed"), F.bool_or(F.col("kind").isin("listed", "sure")).alias("sure"), F.bool_or(F.col("kind") == "named").alias("named"), F.max("format").alias("format"))
+    values = kinds.join(owners, "value").where(F.col("listed") | (F.col("owners") <= most_owners))
     formats = values.where("named and format is not null").groupBy("format").agg(F.count("*").alias("n")).where(F.col("n") >= format_values).select("format", F.lit(True).alias("learned"))
     return values.join(formats, "format", "left").where(F.col("sure") | F.col("named") | F.coalesce("learned", F.lit(False))).select("value")
 
@@ -344,8 +350,8 @@ def find_credentials(rows: DataFrame, row_id: str, owner: str, key: str, text: s
     ``key`` names equal texts (a hash of the text), ``owner`` who holds a
     value. Null texts have no rows, null keys are read one by one; texts are
     read whole; repeated rows give one row; an empty table gives none; other
-    columns are not read. A private key's value stands as its kind and its
-    beginning.
+    columns are not read. A private key's value stands as its kind and a hash
+    of the whole key.
     """
     found = store(find_candidates(rows, row_id, owner, key, text))
     confirmed = store(confirm(found, **limits))
