@@ -1,9 +1,10 @@
 """Credentials embedded in source code: find and redact.
 
-All literals of the corpus are indexed with where they stand, values that many
+What may be a credential is indexed with where it stands, values that many
 owners share are dropped as placeholders, rare structured and named values are
 confirmed (token formats nobody listed are learned from the confirmed ones),
-and every body is read again for the confirmed values with an automaton.
+and every body is read again for the confirmed values with an automaton; those
+that prove to stand with many owners, under whatever name, are dropped too.
 """
 
 from __future__ import annotations
@@ -293,7 +294,18 @@ def confirm(found: DataFrame, most_owners: int = MOST_OWNERS, format_values: int
     kinds = found.groupBy("value").agg(F.bool_or(F.col("kind") == "listed").alias("listed"), F.bool_or(F.col("kind").isin("listed", "sure")).alias("sure"), F.bool_or(F.col("kind") == "named").alias("named"), F.max("format").alias("format"))
     values = kinds.join(owners, "value").where(F.col("listed") | (F.col("owners") <= most_owners))
     formats = values.where("named and format is not null").groupBy("format").agg(F.count("*").alias("n")).where(F.col("n") >= format_values).select("format", F.lit(True).alias("learned"))
-    return values.join(formats, "format", "left").where(F.col("sure") | F.col("named") | F.coalesce("learned", F.lit(False))).select("value")
+    return values.join(formats, "format", "left").where(F.col("sure") | F.col("named") | F.coalesce("learned", F.lit(False))).select("value", "listed")
+
+
+def widespread(places: DataFrame, confirmed: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
+    """Confirmed values, but keys and listed formats, that stand with more than ``most_owners`` owners and in more than as many lines.
+
+    Unlike ``confirm``, this counts every place of a value in the corpus,
+    whatever name it stands under there.
+    """
+    bound = places.join(confirmed.where(~F.col("listed")).select("value"), "value", "left_semi")
+    count = lambda c: bound.select("value", c).distinct().groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > most_owners).select("value")
+    return count("owner").join(count("context"), "value")
 
 
 _automata: dict = {}
@@ -314,17 +326,21 @@ def _whole(text: str, lo: int, hi: int) -> bool:
     return not (lo and (text[lo - 1].isalnum() or text[lo - 1] == "_") and (text[lo].isalnum() or text[lo] == "_")) and not (hi < len(text) and (text[hi].isalnum() or text[hi] == "_") and (text[hi - 1].isalnum() or text[hi - 1] == "_"))
 
 
-def rescan(rows: DataFrame, confirmed: DataFrame, row_id: str, key: str, text: str, block: int = AUTOMATON_VALUES) -> DataFrame:
-    """(row_id, line_no, value) of every place where a confirmed value of 8 characters or more stands.
+def _quoted(text: str, lo: int, hi: int) -> bool:
+    return lo > 0 and text[lo - 1] in "\"'`" and text[hi : hi + 1] == text[lo - 1]
+
+
+def rescan(rows: DataFrame, confirmed: DataFrame, row_id: str, owner: str, key: str, text: str, block: int = AUTOMATON_VALUES) -> DataFrame:
+    """(row_id, owner, line_no, value, context) of every place where a confirmed value stands; one under 8 characters only as a whole quoted literal.
 
     The values go to the workers in blocks of bounded size, one pass over the
     rows per block.
     """
     spark = rows.sparkSession
-    values = confirmed.where((F.length("value") >= 8) & ~F.col("value").rlike("^BEGIN .*:")).select("value")
+    values = confirmed.where(~F.col("value").rlike("^BEGIN .*:")).select("value")
     total = values.count()
     out = None
-    named = rows.select(F.col(row_id).alias("row_id"), F.col(key).alias("key"), F.col(text).alias("text"))
+    named = rows.select(F.col(row_id).alias("row_id"), F.col(owner).alias("owner"), F.col(key).alias("key"), F.col(text).alias("text"))
     for at in range(blocks := max(1, -(-total // max(1, block * 4 // 5)))):
         some = [r.value for r in values.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == at).collect()] if total else []  # at most about AUTOMATON_VALUES
         sent, name = spark.sparkContext.broadcast(some), f"{id(confirmed)}-{at}-{len(some)}-{hash(tuple(some[:50]))}"
@@ -335,11 +351,13 @@ def rescan(rows: DataFrame, confirmed: DataFrame, row_id: str, key: str, text: s
             hits = {}
             for end, v in _automaton(name, sent.value).iter(body):
                 lo = end + 1 - len(v)
-                if _whole(body, lo, end + 1):
-                    hits[body.count("\n", 0, lo) + 1, v] = None
-            return list(hits)
+                if _quoted(body, lo, end + 1) if len(v) < 8 else _whole(body, lo, end + 1):
+                    first, last = body.rfind("\n", 0, lo) + 1, body.find("\n", lo)
+                    line = body[first : last if last >= 0 else len(body)]
+                    hits[body.count("\n", 0, lo) + 1, v] = _digest(line.replace(v, "").strip())
+            return [(line_no, v, context) for (line_no, v), context in hits.items()]
 
-        part = scan_distinct_text(named, "key", "text", ["row_id"], analyse, [("line_no", pa.int64()), ("value", pa.string())], "row_id string, line_no bigint, value string")
+        part = scan_distinct_text(named, "key", "text", ["row_id", "owner"], analyse, [("line_no", pa.int64()), ("value", pa.string()), ("context", pa.string())], "row_id string, owner string, line_no bigint, value string, context string")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -355,8 +373,10 @@ def find_credentials(rows: DataFrame, row_id: str, owner: str, key: str, text: s
     """
     found = store(find_candidates(rows, row_id, owner, key, text))
     confirmed = store(confirm(found, **limits))
-    again = rescan(rows, confirmed, row_id, key, text)
-    return found.join(confirmed, "value", "left_semi").select("row_id", "line_no", "value").unionByName(again).distinct()
+    taken = found.join(confirmed, "value", "left_semi").select("row_id", "owner", "line_no", "value", "context")
+    places = store(taken.unionByName(rescan(rows, confirmed, row_id, owner, key, text)))
+    common = widespread(places, confirmed, limits.get("most_owners", MOST_OWNERS))
+    return places.join(common, "value", "left_anti").select("row_id", "line_no", "value").distinct()
 
 
 def redact(text: str, values: list[str], mask: str = "REDACTED") -> str:

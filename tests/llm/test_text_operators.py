@@ -315,3 +315,11 @@ def test_keys_and_listed_formats_have_no_owner_bound(spark):
     got = credentials.find_credentials(rows_, "id", "owner", "key", "text").collect()
     assert {r["row_id"] for r in got} == {d[0] for d in data}
     assert len({r["value"] for r in got}) == 31
+
+
+def test_owners_are_counted_over_all_places(spark):
+    """A common literal is no credential for standing once under a credential's name; a short one is found wherever it is quoted."""
+    data = [("s", 'secret = "session-key1"'), ("p", 'password = "Kq7#z"\npassword = "Kq7#zW"'), ("q", 'send("Kq7#zW")'), ("r", "aKq7#zWb")] + [(f"u{i}", f'use{i}("session-key1")') for i in range(30)]
+    rows_ = df(spark, [(a, a, t, t) for a, t in data], "id string, owner string, key string, text string")
+    got = {tuple(r) for r in credentials.find_credentials(rows_, "id", "owner", "key", "text").collect()}
+    assert got == {("p", 2, "Kq7#zW"), ("q", 1, "Kq7#zW")}
