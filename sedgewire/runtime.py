@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,16 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a temporary one where none is set.
+    """Use the shared folder the cluster names; a session on one machine (tests, notebooks) may do without.
 
-    A session whose ``spark.checkpoint.dir`` is set already has its checkpoint
-    folder, so only local sessions (tests, notebooks) reach the fallback.
+    A machine's own folder is not seen by the other machines of a cluster, so
+    a cluster that names no shared folder is an error.
     """
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isDefined():
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sedgewire-checkpoint-"))
+    if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sedgewire-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -104,12 +108,28 @@ def store(df: DataFrame) -> DataFrame:
 
     Smaller on disk than a checkpoint of wide rows; removed when the driver ends.
     """
+    return stored(df.sparkSession, df.schema, [_write(df)])
+
+
+def store_counting(df: DataFrame, what: Column) -> tuple[str, int]:
+    """Folder of the stored ``df`` and the number of its rows for which ``what`` holds, from one job."""
+    seen = Observation()
+    path = _write(df.observe(seen, F.count_if(what).alias("n")))
+    return path, seen.get["n"]
+
+
+def stored(spark: SparkSession, schema: StructType | str, paths: list[str]) -> DataFrame:
+    """Stored tables of one schema, read as one."""
+    return spark.read.schema(schema).parquet(*paths)
+
+
+def _write(df: DataFrame) -> str:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _stored.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 _stored: list[tuple[SparkSession, str]] = []

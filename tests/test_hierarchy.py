@@ -31,8 +31,20 @@ def test_against_brute_force(spark):
         pick = random.random()
         links[f"n{i:03d}"] = None if pick < 0.05 else "gone" if pick < 0.07 else f"n{random.randrange(400):03d}" if pick < 0.12 else f"n{max(0, i - 1 - int(random.random() < 0.2)):03d}"
     df = spark.createDataFrame(list(links.items()), "id string, parent string")
-    got = {r["node"]: (r["root"], r["depth"]) for r in hierarchy(df, "id", "parent").collect()}
-    assert got == brute(links)
+    want = brute(links)
+    for block in (0, 40, 10_000):  # all rounds as jobs, some, none
+        got = {r["node"]: r for r in hierarchy(df, "id", "parent", with_path=block > 0, block=block).collect()}
+        assert {n: (r["root"], r["depth"]) for n, r in got.items()} == want
+        for n, r in got.items() if block else ():
+            assert r["path"] is None if r["depth"] < 0 else len(r["path"]) == r["depth"] + 1 and r["path"][0] == r["root"] and all(links[b] == a for a, b in zip(r["path"], r["path"][1:]))
+
+
+def test_hub_and_long_chain(spark):
+    links = {f"c{i:05d}": f"c{i - 1:05d}" if i else None for i in range(3000)} | {f"h{i:05d}": "c02999" for i in range(3000)}
+    df = spark.createDataFrame(list(links.items()), "id string, parent string")
+    for block in (1000, 20_000):
+        got = {r["node"]: r["depth"] for r in hierarchy(df, "id", "parent", block=block).collect()}
+        assert got["c02999"] == 2999 and got["h00007"] == 3000 and len(got) == 6000
 
 
 def test_paths_descendants_and_circles(spark):
