@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from sedgewire.llm.syntax.core import Fault
 from sedgewire.llm.syntax.golang import check_go
 from sedgewire.llm.syntax.java import check_java
@@ -16,6 +18,10 @@ LANGUAGES = {
 }
 
 
+#: Calls of rules within one another; these take memory only. What nests deeper (some 100,000 brackets) no compiler reads either and is an error.
+MOST_CALLS = 1_000_000
+
+
 def language_of(path: str | None) -> str | None:
     """The language a path's extension stands for, or None."""
     name = (path or "").replace("\\", "/").rsplit("/", 1)[-1]
@@ -24,6 +30,7 @@ def language_of(path: str | None) -> str | None:
 
 def syntax_errors(text: str, language: str) -> list[Fault]:
     """All errors of a text in order of place; none if it is valid. An empty text is valid."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), MOST_CALLS))
     text = text.removeprefix("﻿")
     if language == "python":
         return check_python(text)

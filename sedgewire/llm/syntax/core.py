@@ -50,8 +50,8 @@ class Parser:
         self.nl = [*newlines, True, True] if newlines is not None else None
         self.codes = "".join(map(CODES.__getitem__, kinds))
         self.i = 0
-        self.depth = 0
         self.faults: list[Fault] = []
+        self.failed: dict[tuple, tuple[int, str]] = {}
         self.close: dict[int, int] = {}
         stack: list[int] = []
         for j, kind in enumerate(kinds):
@@ -74,14 +74,26 @@ class Parser:
             raise Unexpected(self.i, f"expected {kind}, found {self.k[self.i]}")
         self.i += 1
 
+    def context(self) -> object:
+        """What besides the cursor decides how a rule goes."""
+        return None
+
+    def restore(self, context: object) -> None:
+        """Back to a context that a failed rule left."""
+
     def attempt(self, rule: Callable[[], object]) -> bool:
-        """Try a rule; on failure the cursor stays where it was."""
-        at = self.i
+        """Try a rule; on failure the cursor stays where it was, and the rule is not tried there again."""
+        at, context = self.i, self.context()
+        key = (rule.__name__, at, context)
+        if key in self.failed:
+            return False
         try:
             rule()
             return True
-        except Unexpected:
+        except Unexpected as e:
             self.i = at
+            self.restore(context)
+            self.failed[key] = e.index, e.message
             return False
 
     def remember(self, key: str) -> None:
@@ -101,7 +113,6 @@ class Parser:
             except Unexpected as e:
                 self.report(e)
                 self.i = max(self.i, e.index)
-                self.depth = 0
                 recover()
             except RecursionError:
                 self.report(Unexpected(self.i, "nested too deeply"))

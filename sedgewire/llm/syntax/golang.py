@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from sedgewire.llm.syntax.core import CODES, Fault, Parser
+from sedgewire.llm.syntax.core import CODES, Fault, Parser, Unexpected
 
 # Reserved words, and signs from longest to shortest.
 RESERVED = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
@@ -65,6 +65,12 @@ class GoParser(Parser):
     #: Below 0 a brace after an operand begins a block, not a literal.
     level = 0
 
+    def context(self) -> int:
+        return self.level
+
+    def restore(self, context: int) -> None:
+        self.level = context
+
     def file_item(self) -> None:
         if self.i == 0:
             while self.eat(";"):
@@ -223,9 +229,6 @@ class GoParser(Parser):
             self.fail()
 
     def type(self) -> None:
-        self.depth += 1
-        if self.depth > 400:
-            self.fail("nested too deeply")
         k = self.k[self.i]
         if k == "id":
             self.i += 1
@@ -285,7 +288,6 @@ class GoParser(Parser):
                 self.semicolon()
         else:
             self.fail()
-        self.depth -= 1
 
     def type_arguments(self) -> None:
         self.need("[")
@@ -348,12 +350,8 @@ class GoParser(Parser):
                     if c == CODES["if"]:
                         self.otherwise()
                 return
-        self.depth += 1
-        if self.depth > 400:
-            self.fail("nested too deeply")
         self.header_end = -1
         self.plain()
-        self.depth -= 1
         if m and (self.i == m.end() - 1 and c in _PLAIN_HEADS):
             self.remember(m[0])
 
@@ -523,9 +521,6 @@ class GoParser(Parser):
             self.binary(strength)
 
     def unary(self) -> None:
-        self.depth += 1
-        if self.depth > 400:
-            self.fail("nested too deeply")
         k = self.k[self.i]
         if k == "<-" and self.k[self.i + 1] == "chan":
             self.type()
@@ -535,7 +530,6 @@ class GoParser(Parser):
             self.unary()
         else:
             self.suffixes(self.operand())
-        self.depth -= 1
 
     def operand(self) -> bool:
         """An operand; True if a literal's braces may follow."""
@@ -548,7 +542,7 @@ class GoParser(Parser):
             return True
         if k == "(":
             self.i += 1
-            level, self.level = self.level, max(self.level, 0) + 1
+            level, self.level = self.level, 1
             at = self.i
             if not (self.attempt(self.expression) and self.k[self.i] == ")"):
                 self.i = at
@@ -584,7 +578,7 @@ class GoParser(Parser):
                     self.need("id")
             elif k == "[":
                 self.i += 1
-                level, self.level = self.level, max(self.level, 0) + 1
+                level, self.level = self.level, 1
                 if self.k[self.i] == "]":
                     self.fail("operand missing")
                 if self.k[self.i] != ":":
@@ -600,7 +594,7 @@ class GoParser(Parser):
                 self.need("]")
             elif k == "(":
                 self.i += 1
-                level, self.level = self.level, max(self.level, 0) + 1
+                level, self.level = self.level, 1
                 while not self.eat(")"):
                     self.element_or_type()
                     self.eat("...")
@@ -615,15 +609,18 @@ class GoParser(Parser):
                 return
 
     def element_or_type(self) -> None:
-        at = self.i
-        if not (self.attempt(self.expression) and self.k[self.i] in (",", ")", "]", ":", "...", "}")):
+        at, level = self.i, self.level
+        whole = self.attempt(self.expression)
+        end = self.i
+        if not (whole and self.k[end] in (",", ")", "]", ":", "...", "}")):
             self.i = at
             if not (self.attempt(self.type) and self.k[self.i] in (",", ")", "]")):
-                self.i = at
-                self.expression()
+                self.i = end
+                if not whole:
+                    raise Unexpected(*self.failed["expression", at, level])
 
     def literal(self) -> None:
-        level, self.level = self.level, max(self.level, 0) + 1
+        level, self.level = self.level, 1
         self.need("{")
         while not self.eat("}"):
             self.value()

@@ -336,9 +336,6 @@ class JavaParser(Parser):
                     self.fail()
 
     def type(self) -> None:
-        self.depth += 1
-        if self.depth > 400:
-            self.fail("nested too deeply")
         while self.k[self.i] == "@":
             self.annotation()
         if self.k[self.i] in PRIMITIVE:
@@ -353,7 +350,6 @@ class JavaParser(Parser):
                 self.name()
                 self.type_arguments()
         self.dimensions()
-        self.depth -= 1
 
     def type_arguments(self) -> None:
         if not self.eat("<"):
@@ -390,11 +386,7 @@ class JavaParser(Parser):
             if m and m[0] in self.known:
                 self.i = m.end()
                 return
-        self.depth += 1
-        if self.depth > 400:
-            self.fail("nested too deeply")
         self.plain()
-        self.depth -= 1
         if m and self.i == m.end():
             self.remember(m[0])
 
@@ -647,12 +639,8 @@ class JavaParser(Parser):
         return self.k[self.i] == "(" and (end := self.close.get(self.i)) is not None and self.k[end + 1] == "->"
 
     def expression(self):
-        self.depth += 1
-        if self.depth > 400:
-            self.fail("nested too deeply")
         if self.lambda_ahead():
             self.lambda_()
-            self.depth -= 1
             return None
         kind = self.ternary()
         op = self.op()
@@ -662,7 +650,6 @@ class JavaParser(Parser):
             self.i += op.count(">") + op.endswith("=") if op[0] == ">" else 1
             self.expression()
             kind = "effect"
-        self.depth -= 1
         return kind
 
     def lambda_(self) -> None:

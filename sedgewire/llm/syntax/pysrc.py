@@ -19,6 +19,10 @@ _TOKEN = re.compile(
 _INDENT = re.compile(r"[ \t\f]*")
 
 
+# Brackets that may be open at once, and levels of indentation with the outermost, by the language's own reader.
+MOST_BRACKETS, MOST_LEVELS = 200, 100
+
+
 class Scan:
     """Logical lines of a text as tokens between newline, indent and dedent marks."""
 
@@ -112,6 +116,8 @@ class Scan:
                 kind = m[0]
                 if kind in "([{":
                     open_.append(kind)
+                    if len(open_) == MOST_BRACKETS + 1:
+                        self.faults.append(Fault(start, "too many nested brackets"))
                 elif kind in ")]}":
                     if not open_ or open_[-1] + kind not in ("()", "[]", "{}"):
                         self.faults.append(Fault(start, f"unmatched {kind}"))
@@ -601,9 +607,6 @@ class LineParser(Parser):
         return self.test()
 
     def test(self):
-        self.depth += 1
-        if self.depth > 190:
-            self.fail("nested too deeply")
         if self.k[self.i] == "lambda":
             self.i += 1
             self.parameters(":", False)
@@ -617,7 +620,6 @@ class LineParser(Parser):
                 self.need("else")
                 self.test()
                 kind = None
-        self.depth -= 1
         return kind
 
     def disjunction(self):
@@ -845,6 +847,8 @@ def check_python(text: str) -> list[Fault]:
                 levels.append(indent)
                 open_.append("")
                 in_match.append(word == "match")
+                if len(levels) == MOST_LEVELS + 1:
+                    faults.append(Fault(place, "too many levels of indentation"))
             else:
                 faults.append(Fault(at, f"no block after {word}"))
         elif indent[0] > levels[-1][0]:

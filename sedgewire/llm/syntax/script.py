@@ -274,16 +274,11 @@ class ScriptParser(Parser):
     first_body = -1
 
     def plain_statement(self) -> None:
-        self.depth += 1
-        if self.depth > 400:
-            self.fail("nested too deeply")
         k = self.k[self.i]
         rule = getattr(self, "s_" + k, None) if k in _RULES else None
         if rule is not None and rule() is not False:
-            self.depth -= 1
             return
         if self.typed and k in _TYPED_RULES and self.typed_declaration(k):
-            self.depth -= 1
             return
         if k == "{":
             self.block()
@@ -298,7 +293,6 @@ class ScriptParser(Parser):
         else:
             self.expression()
             self.end_statement()
-        self.depth -= 1
 
     def block(self) -> None:
         self.need("{")
@@ -825,9 +819,6 @@ class ScriptParser(Parser):
             self.assignment(no_in)
 
     def assignment(self, no_in: bool = False) -> None:
-        self.depth += 1
-        if self.depth > 400:
-            self.fail("nested too deeply")
         k = self.k[self.i]
         start = self.i
         if k == "async" and not self.nl[self.i + 1] and (self.k[self.i + 1] == "(" or (self.k[self.i + 1] == "id" or self.k[self.i + 1] in _CONTEXTUAL) and self.k[self.i + 2] == "=>" or self.typed and self.k[self.i + 1] == "<"):
@@ -835,20 +826,17 @@ class ScriptParser(Parser):
             if self.k[self.i] != "(" or self.arrow_ahead():
                 if self.attempt(self.arrow):
                     self.arrow_body(no_in)
-                    self.depth -= 1
                     return
             self.i = start
         elif (self.is_name() and self.k[self.i + 1] == "=>") or (k == "(" and self.arrow_ahead()) or (k == "<" and self.typed):
             if self.attempt(self.arrow):
                 self.arrow_body(no_in)
-                self.depth -= 1
                 return
         if k == "yield" and self.k[self.i + 1] not in ("=>", ".", "=", "?.", "["):
             self.i += 1
             if not self.nl[self.i] and self.k[self.i] not in (")", "]", "}", ",", ";", ":", "eof", "in", "of"):
                 self.eat("*")
                 self.assignment(no_in)
-            self.depth -= 1
             return
         target = self.binary(0, no_in)
         if self.eat("?"):
@@ -860,7 +848,6 @@ class ScriptParser(Parser):
                 self.fail("not a target of an assignment")
             self.i += 1
             self.assignment(no_in)
-        self.depth -= 1
 
     def binary(self, least: int, no_in: bool):
         target = self.unary()
@@ -1120,9 +1107,6 @@ class ScriptParser(Parser):
             self.any_name()
 
     def type(self) -> None:
-        self.depth += 1
-        if self.depth > 400:
-            self.fail("nested too deeply")
         if self.k[self.i] == "<" or self.k[self.i] == "new" or self.k[self.i] == "abstract" and self.k[self.i + 1] == "new":
             self.eat("abstract")
             self.eat("new")
@@ -1130,10 +1114,8 @@ class ScriptParser(Parser):
             self.parameters()
             self.need("=>")
             self.return_type()
-            self.depth -= 1
             return
         if self.k[self.i] == "(" and (end := self.close.get(self.i)) is not None and self.k[end + 1] == "=>" and self.attempt(self.function_type):
-            self.depth -= 1
             return
         self.eat("|")
         self.intersection()
@@ -1149,7 +1131,6 @@ class ScriptParser(Parser):
                 self.type()
             else:
                 self.i = at
-        self.depth -= 1
 
     def function_type(self) -> None:
         self.parameters()
@@ -1291,7 +1272,7 @@ def check_script(text: str, typed: bool, markup: bool) -> list[Fault]:
             if inner.i < inner.n:
                 inner.fail()
         except Unexpected as e:
-            inner.i = inner.depth = 0
+            inner.i = 0
             if not (typed and inner.attempt(inner.type) and inner.i == inner.n):  # a template may be a type
                 inner.report(e)
         except RecursionError:

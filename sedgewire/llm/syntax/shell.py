@@ -25,7 +25,7 @@ class ShellParser:
         self.s, self.n, self.i = text, len(text), 0
         self.faults: list[Fault] = []
         self.here: list[tuple[str, bool]] = []
-        self.depth = 0
+        self.failed: dict[tuple[int, bool], tuple[int, str]] = {}
 
     def fail(self, message: str) -> None:
         raise Unexpected(self.i, message)
@@ -102,7 +102,7 @@ class ShellParser:
                 self.separator(top=True)
             except Unexpected as e:
                 self.faults.append(Fault(min(self.i, self.n), str(e)))
-                self.here, self.depth = [], 0
+                self.here = []
                 end = self.s.find("\n", max(self.i, at))
                 self.i = self.n if end < 0 else end + 1
 
@@ -143,9 +143,6 @@ class ShellParser:
         return ";;"
 
     def and_or(self) -> None:
-        self.depth += 1
-        if self.depth > 200:
-            self.fail("nested too deeply")
         self.pipeline()
         while True:
             self.blank()
@@ -155,7 +152,6 @@ class ShellParser:
             self.i += 2
             self.lines()
             self.pipeline()
-        self.depth -= 1
 
     def pipeline(self) -> None:
         while self.take("!") or self.take("time"):
@@ -499,7 +495,6 @@ class ShellParser:
         if j >= self.n:
             self.fail("unterminated `")
         inner = ShellParser(re.sub(r"\\([`\\$])", r"\1", self.s[start + 1 : j]))
-        inner.depth = self.depth + 1
         inner.script()
         if inner.faults:
             self.fail("error in command substitution")
@@ -524,6 +519,19 @@ class ShellParser:
         self.fail('unterminated "')
 
     def dollar(self, quoted: bool = False) -> None:
+        """An expansion; one that failed in another reading fails again at once."""
+        key, here = (self.i, quoted), self.here
+        if key in self.failed:
+            self.i, message = self.failed[key]
+            self.fail(message)
+        try:
+            self.expansion(quoted)
+        except Unexpected as e:
+            self.failed[key] = self.i, str(e)
+            self.here = here
+            raise
+
+    def expansion(self, quoted: bool) -> None:
         s = self.s
         if s.startswith("$((", self.i):
             at = self.i

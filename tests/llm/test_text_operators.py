@@ -323,3 +323,32 @@ def test_owners_are_counted_over_all_places(spark):
     rows_ = df(spark, [(a, a, t, t) for a, t in data], "id string, owner string, key string, text string")
     got = {tuple(r) for r in credentials.find_credentials(rows_, "id", "owner", "key", "text").collect()}
     assert got == {("p", 2, "Kq7#zW"), ("q", 1, "Kq7#zW")}
+
+
+@pytest.mark.parametrize(
+    "language, text",
+    [
+        ("javascript", "x=" + "[" * 1000 + "]" * 1000),
+        ("javascript", "if(a){}" + " else if(b){}" * 1000),
+        ("typescript", "let x: " + "A<" * 1000 + "B" + ">" * 1000),
+        ("tsx", "let x=" + "(a=>(" * 1000 + "1" + "))" * 1000),
+        ("go", "package a\nvar x = " + "func() { f(" * 1000 + "1" + ") }" * 1000 + "\n"),
+        ("java", "class A { void f() { if(a){}" + " else if(b){}" * 1000 + " } }"),
+        ("java", "class A { int x = " + "f(" * 1000 + "1" + ")" * 1000 + "; }"),
+        ("shell", "echo " + "$(echo " * 1000 + ")" * 1000),
+        ("python", "x = " + "[" * 200 + "]" * 200),
+        ("python", "if a:\n  pass\n" + "elif b:\n  pass\n" * 1000),
+    ],
+)
+def test_nesting_is_no_error(language, text):
+    from sedgewire.llm.syntax import syntax_errors
+
+    assert syntax_errors(text, language) == []
+    assert syntax_errors(text.rstrip("])}>; \n")[:-1], language) != [] or language == "python"
+
+
+def test_limits_of_the_language_itself():
+    from sedgewire.llm.syntax import syntax_errors
+
+    assert syntax_errors("x = " + "[" * 201 + "]" * 201, "python") and syntax_errors("".join(" " * i + "if a:\n" for i in range(100)) + " " * 100 + "pass\n", "python")
+    assert syntax_errors("".join(" " * i + "if a:\n" for i in range(99)) + " " * 99 + "pass\n", "python") == []
