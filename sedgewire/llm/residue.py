@@ -1,28 +1,30 @@
 """Template residue, filler and error-page text in documents.
 
-Message templates are mined with a fixed-depth prefix tree over all sentences
-of all documents, the constant text of each template is classified once and
-its verdict goes to every sentence of the template; every distinct sentence is
-classified too, since a template's variable words may be the telling ones.
-Slots left open and sections left blank are looked for in each record by itself.
+Message templates are mined with a fixed-depth prefix tree over the sentences
+of all documents, each template is classified and its verdict goes to every
+sentence of it. A word that some verdict depends on is never a variable of a
+template, so none is lost among other sentences of its leaf. Slots left open and
+sections left blank are looked for in each record by itself.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from re import _parser as regex_parser
 
-import pandas as pd
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.runtime import store
+from sedgewire.runtime import CACHE_KEYS, store
 
 #: Leading words of a sentence that choose its leaf, and the share of a leaf's sentences a word must hold at its place to belong to the template.
 TREE_DEPTH, CONSTANT_SHARE = 3, 0.3
-#: A made-up word stands in at least so many sentences, all without any function word.
-FILLER_LEAST = 4
+#: A made-up word stands in at least so many sentences, and no more than this share of them has a function word.
+FILLER_LEAST, FILLER_BOUND = 4, 0.1
 
 # Names that templates give to their slots.
 SLOT_NAMES = """
@@ -93,7 +95,27 @@ SCRIPT_WORDING = (
     r"^if nothing happens, check that scripts|^loading…? if nothing happens|^(?:<noscript>)?(?:bitte )?(?:aktivieren|schalten) sie (?:bitte )?(?:java ?script|cookies)|^(?:<noscript>)?(?:veuillez )?activez? (?:java ?script|les cookies)|"
     r"^(?:<noscript>)?(?:por favor,? )?(?:active|habilite|activa|habilita) (?:java ?script|las cookies)|^(?:пожалуйста, )?включите (?:java ?script|cookies)|请(?:启用|开启) ?javascript|javascript ?を有効に|javascript를 (?:활성화|사용)"
 )
-_VERDICTS = [(kind, re.compile(rx, re.I)) for kind, rx in (("filler", FILLER_WORDING), ("error_page", ERROR_WORDING), ("script_notice", SCRIPT_WORDING))]
+# The same by their parts, whatever stands between: who speaks of what, and what is wrong with it.
+THING = r"(?:page|file|document|address|url|resource|link|site|website|web ?page|content|article|item)"
+GONE = (
+    r"(?:(?:is|was|were|has been|have been) (?:not found|removed|moved|deleted|unavailable|unpublished|blocked)|(?:can(?:'|’)?t|cannot|could(?: not|n(?:'|’)?t)|can not) be (?:found|reached|opened|displayed|loaded|located)|"
+    r"(?:isn(?:'|’)?t|is (?:no longer|not|currently not|temporarily not)) (?:available|accessible|reachable)|(?:no longer exists?|does(?: not|n(?:'|’)?t) exist|may have been (?:moved|removed|deleted)|is (?:currently |temporarily )?(?:unavailable|offline|down)))"
+)
+ERROR_PARTS = (
+    rf"^(?:oops|sorry|uh[- ]oh|whoops)?[!,. ]*(?:the|this|that|your|our) (?:requested )?{THING}(?: (?:that )?(?:you|at this)\b.{{0,50}}?)? {GONE}\b.{{0,40}}$|^(?:oops|sorry)?[!,. ]*we (?:could(?: not|n(?:'|’)?t)|can(?:not|(?:'|’)?t)) (?:find|load|display|open) (?:the|that|this) {THING}\b.{{0,40}}$|"
+    r"^access to (?:this|the) (?:requested )?\w+(?: on (?:the|this) server)? (?:is|was|has been) (?:denied|forbidden|restricted|blocked)|^(?:oops|sorry)?[!,. ]*something (?:has gone|went) wrong\b.{0,50}$|^(?:sorry, )?an? (?:unexpected|unknown|internal|server) error (?:has |was )?(?:occurred|encountered)\b.{0,60}$|"
+    r"^(?:this|our|the) (?:website|site|page|service|application) is (?:currently |temporarily )?(?:under (?:maintenance|construction)|undergoing maintenance|down for maintenance)\b.{0,40}$|^(?:site )?under (?:construction|maintenance)[.!]*$|"
+    r"^you (?:must|need to|have to) (?:be (?:logged|signed) in|log in|sign in)(?: first)? (?:to|before) (?:view|see|access|continue|read|use|viewing)|^this (?:content|page|area|section) is (?:only )?(?:available|visible|accessible|restricted) (?:only )?to (?:registered|logged|signed|authori[sz]ed|members|subscribers)|"
+    r"^(?:(?:unauthori[sz]ed|forbidden) (?:access|request)|(?:your )?request (?:was |has been )?(?:blocked|rejected))[.!]*$|^(?:[45]\d\d)? ?[-–—:]? ?(?:page|file|url) or (?:directory|page) not found[.!]*$|^(?:connection|request|operation) timed out[.!]*$|"
+    r"^(?:diese|die) seite (?:wurde nicht gefunden|existiert nicht|ist nicht (?:mehr )?(?:verfügbar|erreichbar))|^cette page (?:n(?:'|’)existe (?:pas|plus)|est introuvable)|^(?:no se (?:ha encontrado|encontró|pudo encontrar)|no existe) la página|^esta página no (?:existe|está disponible)|^(?:a|esta) página não (?:foi encontrada|existe)|^(?:la )?pagina non (?:trovata|esiste)|^(?:de )?pagina (?:is )?niet gevonden"
+)
+SCRIPT_PARTS = (
+    r"^please (?:turn|switch) (?:java ?script|scripts|cookies) (?:back )?on\b|^just a moment[.… ]*$|^checking (?:if|whether) the (?:site|connection)\b|^(?:please )?(?:verify|confirm|prove) (?:that )?you(?: are|'re|’re) (?:a |not a )?(?:human|robot)|^veuillez activer (?:java ?script|les cookies)|"
+    r"^(?:you(?:r browser)? (?:seems? to )?(?:have|has) )(?:java ?script|cookies) (?:disabled|turned off)|^(?:abilita|attiva) (?:java ?script|i cookie)|^(?:schakel|zet) (?:java ?script|cookies) (?:in|aan)|^(?:ative|habilite) o? ?(?:java ?script)"
+)
+FILLER_PARTS = r"^your (?:content|text|description|title|headline) (?:goes|here)\b|^this is (?:a |some |just )*(?:placeholder|dummy|sample|filler|example) (?:text|paragraph|content|copy)\b.{0,30}$|^(?:add|enter|type|put) (?:your|some) (?:text|content|description) here"
+_WORDINGS = {"filler": f"{FILLER_WORDING}|{FILLER_PARTS}", "error_page": f"{ERROR_WORDING}|{ERROR_PARTS}", "script_notice": f"{SCRIPT_WORDING}|{SCRIPT_PARTS}"}
+_VERDICTS = [(kind, re.compile(rx, re.I)) for kind, rx in _WORDINGS.items()]
 _SAME_WORD = re.compile(r"^(\w+)(?:[ ,]+\1){2,}\b", re.I)
 
 _NAMES = "|".join(sorted(SLOT_NAMES, key=len, reverse=True))
@@ -108,113 +130,215 @@ _BLANK = re.compile(
     r"(?i)^[-*+>\s]*(?:todo|tbd|tba|fixme|n/?a yet|coming soon|\.{2,}|…|\?{2,}|x{3,}|none yet|to be (?:done|determined|written|added|defined)|\[(?:fill in|todo|tbd|describe|explain)[^\]]*\]|"
     r"_(?:describe|explain|fill in|add|write|your|insert)[^_\n]{0,60}_|<!--.*?-->|<(?:describe|explain|fill in|add|write|your|insert)[^>\n]{0,60}>|(?:describe|explain|fill in|write|add|insert) (?:\w+ ){0,3}here)[.!:\s]*$"
 )
+_BLANKS = re.compile(_BLANK.pattern, re.M).search
+_SLOT_SIGNS = re.compile(r"[\[{$%]|<(?![CQ]>)|__|@@").search
 _HEADING = re.compile(r"^ {0,3}#{1,6}\s+\S|^[^\n]{1,60}:\s*$|^\*\*[^*\n]{1,60}\*\*:?\s*$")
 _FENCE = re.compile(r"(?ms)^[ \t]*(```+|~~~+)[^\n]*\n.*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)")
 _CODE = re.compile(r"(`+)[^`\n]+?\1")
 _QUOTE = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|«[^»\n]{1,300}»|„[^“”\n]{1,300}[“”]|「[^」\n]{1,300}」")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
-_MASKS = [(re.compile(r"https?://\S+"), "<U>"), (re.compile(r"(?<!\w)/[\w.-]+(?:/[\w.-]+)*"), "<P>"), (re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b"), "<H>"), (re.compile(r"\d+(?:[.,]\d+)*"), "<N>")]
-_STATUS = re.compile(r"(?<![\d.,])([45]\d\d)(?![\d.,]*\d)")
-_SPACES = re.compile(r"\s+")
-
-
-def mask(sentence: str) -> str:
-    """A sentence with what varies between uses (numbers but HTTP statuses, ids, paths, links) replaced."""
-    for rx, by in _MASKS[:3]:
-        sentence = rx.sub(by, sentence)
-    kept = _STATUS.sub(lambda m: "<" + "".join(chr(0xE000 + int(c)) for c in m[1]) + ">", sentence)
-    kept = _MASKS[3][0].sub("<N>", kept)
-    kept = re.sub("<([-]{3})>", lambda m: "".join(str(ord(c) - 0xE000) for c in m[1]), kept)
-    return _SPACES.sub(" ", kept).strip()
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n")
+_URL, _PATH, _NUMBER = re.compile(r"https?://\S+"), re.compile(r"/(?<!\w/)[\w.-]+(?:/[\w.-]+)*"), re.compile(r"\d+(?:[.,]\d+)*")
+_ID = re.compile(r"\b[0-9a-f]{8,}\b")
+_DIGIT = re.compile(r"\d").search
+_STATUS = re.compile(r"[45]\d\d")
+_LETTERS = re.compile(r"[^\W\d_]+").findall
+_LATIN = re.compile(r"[^a-zA-Z\u00c0-\u024f\u0300-\u036f.,;:!?'’\s-]").search
+
+
+def _number(m: re.Match) -> str:
+    """<N>, but an HTTP status stays."""
+    return m[0] if _STATUS.fullmatch(m[0]) and m.string[m.start() - 1 : m.start()] not in (".", ",") else "<N>"
+
+
+def mask(text: str) -> str:
+    """A text with what varies between uses (numbers but HTTP statuses, ids, paths, links) replaced."""
+    if "://" in text:
+        text = _URL.sub("<U>", text)
+    if "/" in text:
+        text = _PATH.sub("<P>", text)
+    if not _DIGIT(text):
+        return text
+    return _NUMBER.sub(_number, _ID.sub(lambda m: "<H>" if _DIGIT(m[0]) else m[0], text))
+
+
+def own_text(text: str) -> str:
+    """A record without code blocks, code spans, quotations and quoted lines, which are not its own text."""
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n", text)
+    if "`" in text:
+        text = _CODE.sub(" <C> ", text)
+    text = _QUOTE.sub(" <Q> ", text)
+    return "\n".join([x for x in text.split("\n") if not x.lstrip().startswith("> ")]) if "> " in text else text
 
 
 def parts(text: str) -> list[tuple[str, str]]:
-    """(kind, sentence) of a record: open slots, blank sections, and the masked sentences of its own prose.
-
-    Code blocks, code spans, quotations and quoted lines are not the record's own text.
-    """
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    own = _FENCE.sub("\n", text)
-    own = _QUOTE.sub(" <Q> ", _CODE.sub(" <C> ", own))
-    lines = [x for x in own.split("\n") if not x.lstrip().startswith("> ")]
+    """(kind, sentence) of a record: open slots, blank sections, and the masked sentences of its own prose."""
+    own = own_text(text)
     out: list[tuple[str, str]] = []
-    blank, heading = False, False
-    for line in [*lines, "# end"]:
-        bare = line.strip()
-        if _HEADING.match(line):
-            if heading and blank:
-                out.append(("section", ""))
-                blank = False
-            heading, blank = True, False
-            filled = False
-        elif bare and heading and not filled:
-            blank = bool(_BLANK.match(bare))
-            filled = not blank
-    for line in lines:
-        bare = line.strip()
-        if not bare:
-            continue
-        if "[" in bare or "{" in bare or "<" in bare or "_" in bare or "$" in bare or "@@" in bare or "%" in bare:
-            if (_SLOT.search(bare) or any(f"</{m[1]}>" not in text for m in _ANGLE.finditer(bare))) and not _DISCUSSES.search(bare):
+    if _BLANKS(own):
+        blank, heading = False, False
+        for line in [*own.split("\n"), "# end"]:
+            bare = line.strip()
+            if _HEADING.match(line):
+                if heading and blank:
+                    out.append(("section", ""))
+                    blank = False
+                heading, filled = True, False
+            elif bare and heading and not filled:
+                blank = bool(_BLANK.match(bare))
+                filled = not blank
+    if _SLOT_SIGNS(own):
+        for m in (*_SLOT.finditer(own), *(x for x in _ANGLE.finditer(own) if f"</{x[1]}>" not in text)):
+            end = own.find("\n", m.end())
+            if not _DISCUSSES.search(own[own.rfind("\n", 0, m.start()) + 1 : end if end >= 0 else len(own)]):
                 out.append(("slot", ""))
-        for sentence in _SENTENCE.split(bare.lstrip("#*-+ \t")):
-            masked = mask(sentence)
-            if masked:
-                out.append(("sentence", masked))
+    for sentence in _SENTENCE.split(mask(own)):
+        words = sentence.lstrip("#*-+ \t").split()
+        if words:
+            out.append(("sentence", " ".join(words)))
     return out
 
 
 def classify(sentence: str) -> str | None:
     """filler, error_page, script_notice or None for the wording of one sentence or template."""
-    if _SAME_WORD.match(sentence):
-        return "filler"
-    words = [w.lower() for w in re.findall(r"[^\W\d_]+", sentence)]
-    if len(words) >= 4 and sum(w in FILLER_WORDS for w in words) >= 0.8 * len(words):
+    if _SAME_WORD.match(sentence) or _mostly_filler(_LETTERS(sentence.lower()), sentence.count("<*>")):
         return "filler"
     return next((kind for kind, rx in _VERDICTS if rx.search(sentence)), None)
 
 
-def mine_templates(sentences: DataFrame, depth: int = TREE_DEPTH, share: float = CONSTANT_SHARE) -> DataFrame:
-    """Template of every distinct sentence: (sentence, n) to (sentence, n, template).
+def _runs(pattern: str) -> set[str]:
+    """All runs of letters that stand in a pattern, in lower case."""
+    found: set[str] = set()
+
+    def walk(x) -> None:
+        if isinstance(x, regex_parser.SubPattern):
+            letters = "".join(chr(v) if k is regex_parser.LITERAL and chr(v).isalpha() else " " for k, v in x)
+            found.update(letters.lower().split())
+            for _, value in x:
+                walk(value)
+        elif isinstance(x, (tuple, list)):
+            for part in x:
+                walk(part)
+
+    walk(regex_parser.parse(pattern, re.I))
+    return found
+
+
+def _needed(nodes) -> set[str] | None:
+    """Strings one of which every match of a parsed pattern holds; None if there are none."""
+    options: list[set[str]] = [{r} for r in "".join(chr(v).lower() if k is regex_parser.LITERAL else "\0" for k, v in nodes).split("\0") if len(r) > 2 or len(r) == 2 and not r.isascii()]
+    for kind, value in nodes:
+        if kind is regex_parser.SUBPATTERN:
+            options.append(_needed(value[-1]))
+        elif kind is regex_parser.MAX_REPEAT and value[0]:
+            options.append(_needed(value[-1]))
+        elif kind is regex_parser.BRANCH:
+            ways = [_needed(way) for way in value[1]]
+            options.append(None if None in ways else set().union(*ways))
+    return max((x for x in options if x), key=lambda x: min(map(len, x)), default=None)
+
+
+_HINTS = ahocorasick.Automaton()
+for _hint in set().union(*(_needed(regex_parser.parse(w, re.I)) for w in _WORDINGS.values())):
+    _HINTS.add_word(_hint, True)
+_HINTS.make_automaton()
+_WORD_RUNS = {x for w in _WORDINGS.values() for x in _runs(w)} | FILLER_WORDS
+_STEMS = re.compile("|".join(sorted((x for x in _WORD_RUNS if len(x) > 2), key=len, reverse=True)) + r"|[45]\d\d", re.I).search
+_SHORT = frozenset(x for x in _WORD_RUNS if len(x) < 3)
+
+
+@lru_cache(CACHE_KEYS)
+def telling(word: str) -> bool:
+    """Whether a verdict may depend on this word."""
+    return bool(_STEMS(word)) or not _SHORT.isdisjoint(_LETTERS(word.lower()))
+
 
-    A sentence's leaf is its number of words and its first ``depth`` words. At
-    each place of a leaf the words that at least ``share`` of its sentences
-    have are constants; other words become ``<*>``. Only counts are gathered,
-    so a leaf may hold any number of sentences.
+_cased = lambda words: frozenset(words) | {w.capitalize() for w in words}
+_BINDS, _FILLS = _cased(FUNCTION_WORDS), _cased(FILLER_WORDS - FUNCTION_WORDS)
+
+
+def may_tell(sentence: str, words: list[str]) -> bool:
+    """Whether a sentence (and its words as they stand) has what every sentence with a verdict has."""
+    if next(_HINTS.iter(sentence.lower()), None) is not None or _SAME_WORD.match(sentence):
+        return True
+    return (not _FILLS.isdisjoint(words) or sentence.count(",") > 2) and _mostly_filler(_LETTERS(sentence.lower()))
+
+
+def style_of(sentence: str, words: list[str]) -> str | None:
+    """bound: with a function word; loose: at least four words, none of them a function word, all in Latin letters."""
+    if not _BINDS.isdisjoint(words):
+        return "bound"
+    plain = _LETTERS(sentence.lower())
+    return "bound" if not FUNCTION_WORDS.isdisjoint(plain) else "loose" if len(plain) >= 4 and not _LATIN(sentence) else None
+
+
+def _mostly_filler(words: list[str], variables: int = 0) -> bool:
+    return len(words) >= 4 and not FILLER_WORDS.isdisjoint(words) and sum(w in FILLER_WORDS for w in words) >= 0.8 * (len(words) + variables)
+
+
+def leaf_of(sentence, depth: int = TREE_DEPTH):
+    """The leaf of a sentence column in the prefix tree: its number of words, then its first words, what varies left open."""
+    first = F.regexp_replace(F.substring_index(sentence, " ", depth), r"(?<=^| )(?:[^\w ]*<|[^ ]*\d)[^ ]*", "<*>")
+    return F.xxhash64(F.length(sentence) - F.length(F.translate(sentence, " ", "")), first)
+
+
+def mine_templates(sentences: DataFrame, share: float = CONSTANT_SHARE) -> DataFrame:
+    """(leaf, constants) of the leaves that hold enough sentences to have variables.
+
+    ``sentences``: leaf, sentence, one row per use. At each place of a leaf the
+    words that at least ``share`` of its sentences have are constants ("place
+    word"). Only counts are gathered, so a leaf may hold any number of
+    sentences; one of 1 / share or fewer has no variables and no row.
     """
-    words = F.split("sentence", " ")
-    general = F.transform(F.slice(words, 1, depth), lambda w: F.when(w.rlike(r"^\W*<|\d"), "<*>").otherwise(w))
-    leaved = sentences.withColumn("leaf", F.xxhash64(F.size(words), general))
-    totals = leaved.groupBy("leaf").agg(F.sum("n").alias("total"))
-    counted = leaved.select("leaf", "n", F.posexplode(words).alias("at", "word")).groupBy("leaf", "at", "word").agg(F.sum("n").alias("n"))
-    constants = counted.join(totals, "leaf").where(F.col("n") >= share * F.col("total")).groupBy("leaf").agg(F.collect_set(F.concat_ws(" ", "at", "word")).alias("constants"))
-    filled = F.transform(words, lambda w, i: F.when(F.array_contains("constants", F.concat_ws(" ", i, w)), w).otherwise("<*>"))
-    return leaved.join(constants, "leaf", "left").select("sentence", "n", F.array_join(filled, " ").alias("template"))
+    totals = sentences.groupBy("leaf").agg(F.count("*").alias("total")).where(F.col("total") * share > 1)
+    counted = sentences.select("leaf", F.posexplode(F.split("sentence", " ")).alias("at", "word")).groupBy("leaf", "at", "word").agg(F.count("*").alias("n"))
+    return counted.join(totals, "leaf").where(F.col("n") >= share * F.col("total")).groupBy("leaf").agg(F.collect_list(F.concat_ws(" ", "at", "word")).alias("constants"))
+
 
+def template_of(sentence: str, constants: frozenset[str] | None) -> str:
+    """The sentence with its leaf's variables left open; words that a verdict may depend on are none."""
+    if constants is None:
+        return sentence
+    return " ".join(w if f"{i} {w}" in constants or telling(w) else "<*>" for i, w in enumerate(sentence.split(" ")))
 
-def _classified(texts: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds <column>_verdict for each text column, each row being classified once."""
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in texts.schema] + [f"{c}_verdict string" for c in columns])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verdicts(told: DataFrame, doc_id: str) -> DataFrame:
+    """(doc_id, kind) of the rows whose template has a verdict; a task classifies each template once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str | None] = {}
+        leaves: dict[int, frozenset[str] | None] = {}
         for batch in batches:
-            yield batch.assign(**{f"{c}_verdict": [classify(t) for t in batch[c]] for c in columns})
+            take, kinds = [], []
+            for i, (sentence, leaf) in enumerate(zip(batch.column("sentence").to_pylist(), batch.column("leaf").to_pylist())):
+                if leaf not in leaves:
+                    if len(leaves) >= CACHE_KEYS:
+                        leaves.clear()
+                    constants = batch.column("constants")[i].as_py()
+                    leaves[leaf] = None if constants is None else frozenset(constants)
+                template = template_of(sentence, leaves[leaf])
+                if template not in known:
+                    if len(known) >= CACHE_KEYS:
+                        known.clear()
+                    known[template] = classify(template)
+                if known[template] is not None:
+                    take.append(i)
+                    kinds.append(known[template])
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id).take(pa.array(take, pa.int64())), pa.array(kinds, pa.string())], names=[doc_id, "kind"])
 
-    return texts.mapInPandas(run, schema)
+    return told.select(doc_id, "sentence", "leaf", "constants").mapInArrow(run, f"{doc_id} {told.schema[doc_id].dataType.simpleString()}, kind string")
 
 
-def _made_up_sentences(sentences: DataFrame) -> DataFrame:
-    """Sentences of words that never stand beside a function word anywhere in the corpus."""
-    words = F.transform(F.expr(r"regexp_extract_all(sentence, '[a-zA-Z\\u00c0-\\u024f\\u0300-\\u036f]+', 0)"), lambda w: F.lower(w))
-    split = sentences.select("sentence", "n", words.alias("words")).where(F.size("words") >= 4)
-    bound = F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(FUNCTION_WORDS)]))
-    marked = split.where(~F.col("sentence").rlike("<|[Ѐ-￿]")).withColumn("bound", bound)
-    counts = (
-        split.select("n", "words", bound.alias("bound")).select("n", "bound", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.sum(F.when(F.col("bound"), F.col("n")).otherwise(0)).alias("with"), F.sum(F.when(F.col("bound"), 0).otherwise(F.col("n"))).alias("without"))
-    )
-    made_up = counts.where((F.col("with") == 0) & (F.col("without") >= FILLER_LEAST)).select("word")
-    loose = marked.where(~F.col("bound")).select("sentence", F.size(F.array_distinct("words")).alias("size"), F.explode(F.array_distinct("words")).alias("word"))
-    return loose.join(made_up, "word").groupBy("sentence").agg(F.count("*").alias("made_up"), F.max("size").alias("size")).where("made_up >= 0.8 * size and made_up >= 4").select("sentence", F.lit("filler").alias("verdict"))
+def _made_up(rows: DataFrame, doc_id: str) -> DataFrame:
+    """(doc_id, kind) of loose sentences (no function word in them) of words that hardly ever stand beside a function word in the corpus."""
+    words = F.split(F.translate(F.lower("sentence"), ".,;:!?()\"'", ""), " ")
+    used = rows.where("style is not null").select("style", F.explode(F.when(F.col("style") == "loose", F.array_distinct(words)).otherwise(words)).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("style") == "bound").alias("bound"))
+    made_up = used.where((F.col("n") >= FILLER_LEAST) & (F.col("bound") <= FILLER_BOUND * F.col("n")) & F.col("word").rlike("^[a-z\u00c0-\u024f\u0300-\u036f]+$")).select("word")
+    loose = rows.where("style = 'loose'").select(doc_id, F.xxhash64("sentence").alias("row"), F.explode(F.filter(F.array_distinct(words), lambda w: w != "")).alias("word"))
+    hit = loose.join(made_up.withColumn("hit", F.lit(1)), "word", "left").groupBy(doc_id, "row").agg(F.count("*").alias("size"), F.count("hit").alias("made_up"))
+    return hit.where("made_up >= 0.8 * size and made_up >= 4").select(doc_id, F.lit("filler").alias("kind"))
 
 
 def find_residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,29 +347,31 @@ def find_residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     Null, empty and blank texts have none; a null doc_id is kept as a key of
     its own; texts of any length are read whole; repeated rows give one row;
     an empty table gives none; further columns are not read.
+
+    Leaves of the prefix tree in which no sentence has a word that a verdict
+    depends on cannot get one; they are not worked out.
     """
-    schema = f"{doc_id} {documents.schema[doc_id].dataType.simpleString()}, kind string, sentence string"
+    schema = f"{doc_id} {documents.schema[doc_id].dataType.simpleString()}, kind string, sentence string, told boolean, style string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, kinds, found = [], [], []
+            take, kinds, found, told, styles = [], [], [], [], []
             for i, value in enumerate(batch.column("_text")):
                 for kind, sentence in dict.fromkeys(parts(value.as_py() or "")):
                     take.append(i)
                     kinds.append(kind)
                     found.append(sentence)
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id).take(pa.array(take, pa.int64())), pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=[doc_id, "kind", "sentence"])
-
-    rows = store(documents.select(doc_id, documents[text].alias("_text")).mapInArrow(run, schema))
-    sentences = rows.where("kind = 'sentence'").groupBy("sentence").agg(F.count("*").alias("n"))
-    mined = mine_templates(sentences)
-    # a template without <*> is its one sentence; the sentences of any other may differ where it matters, so each is judged beside its template
-    templates = _classified(mined.where("contains(template, '<*>')").select("template").distinct(), ["template"]).where("template_verdict is not null")
-    by_constants = mined.join(templates, "template").select("sentence", F.col("template_verdict").alias("verdict"))
-    single = _classified(sentences.select("sentence"), ["sentence"]).where("sentence_verdict is not null").select("sentence", F.col("sentence_verdict").alias("verdict"))
-    verdicts = by_constants.unionByName(single).unionByName(_made_up_sentences(sentences))
-    by_template = rows.where("kind = 'sentence'").join(verdicts, "sentence").select(doc_id, F.col("verdict").alias("kind"))
-    return by_template.unionByName(rows.where("kind <> 'sentence'").select(doc_id, "kind")).distinct()
+                    words = sentence.split(" ")
+                    told.append(may_tell(sentence, words))
+                    styles.append(style_of(sentence, words))
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id).take(pa.array(take, pa.int64())), pa.array(kinds, pa.string()), pa.array(found, pa.string()), pa.array(told, pa.bool_()), pa.array(styles, pa.string())], names=[doc_id, "kind", "sentence", "told", "style"])
+
+    rows = store(documents.select(doc_id, documents[text].alias("_text")).mapInArrow(run, schema).withColumn("leaf", leaf_of(F.col("sentence"))))
+    sentences = rows.where("kind = 'sentence'")
+    told = sentences.where("told").select(doc_id, "sentence", "leaf")
+    constants = mine_templates(sentences.select("leaf", "sentence").join(told.select("leaf").distinct(), "leaf", "left_semi"))
+    by_template = _verdicts(told.join(constants, "leaf", "left"), doc_id)
+    return by_template.unionByName(_made_up(sentences, doc_id)).unionByName(rows.where("kind <> 'sentence'").select(doc_id, "kind")).distinct()
 
 
 def without_residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
