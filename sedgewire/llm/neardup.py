@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from sedgewire.operators.components import connected_components
 from sedgewire.runtime import CACHE_KEYS, store
 
-#: Sets that one signature should stand for, were tokens independent; and the longest combinations.
-POSTING, LONGEST = 8, 4
+#: Sets that one signature should stand for, were tokens independent; the longest combinations; signatures of a set beyond which they are shorter.
+POSTING, LONGEST, MOST_SIGNATURES = 8, 4, 10_000
 _WORD = re.compile(r"[A-Za-z0-9_]+").findall
-_LONG = np.dtype("<i8")
 
 
 def word_set(text: str) -> list[int]:
@@ -54,7 +53,13 @@ def word_sets(rows: DataFrame, key: str, text: str) -> DataFrame:
     return found.dropDuplicates(["key"])
 
 
-def prefix_signatures(tokens: np.ndarray, df: np.ndarray, threshold: float, classes: tuple[int, ...]) -> list[bytes]:
+def longest_combination(n: int, threshold: float, longest: int = LONGEST, most: int = MOST_SIGNATURES) -> int:
+    """The longest combinations with which a set of n tokens has at most ``most`` signatures; 1 if none."""
+    o = max(1, math.ceil(threshold * n - 1e-9))
+    return next((k for k in range(longest, 1, -1) if math.comb(n - o + k, k) <= most), 1)
+
+
+def prefix_signatures(tokens: list[int], df: list[int], threshold: float, classes: tuple[int, ...], most: int = MOST_SIGNATURES) -> list[int]:
     """Signatures of a set whose tokens are in ascending order of frequency.
 
     With o the least overlap of a set of n tokens with any similar one, the
@@ -64,24 +69,23 @@ def prefix_signatures(tokens: np.ndarray, df: np.ndarray, threshold: float, clas
     else it makes one with the next k - 1 shared ones, k being the number its
     class asks for. Sets that may share fewer than k tokens give their shorter
     combinations too.
+
+    Combinations are the shorter the larger a set, so that none has very many.
+    The smaller of two sets decides for both: a set has the signatures by its
+    own rule and by those of the smaller sizes that can be similar to it.
     """
     n = len(tokens)
     o = max(1, math.ceil(threshold * n - 1e-9))
-    reach = [min(n, n - o + i + 1) for i in range(len(classes) + 1)]
-    out: list[bytes] = []
-    for i in range(reach[0]):
-        if df[i] < 2:
-            continue
-        k = 1 + int(np.searchsorted(classes, df[i]))
-        for size in range(min(k, o), k + 1):
-            if i + size > n:
-                break
-            if size == 1:
-                out.append(tokens[i : i + 1].tobytes())
+    out: list[int] = []
+    for rule in range(longest_combination(n, threshold, len(classes) + 1, most), longest_combination(o, threshold, len(classes) + 1, most) + 1):
+        for i in range(n - o + 1):
+            if df[i] < 2:
                 continue
-            for rest in combinations(range(i + 1, reach[size - 1]), size - 1):
-                if all(j < reach[d + 1] for d, j in enumerate(rest)):
-                    out.append(tokens[[i, *rest]].tobytes())
+            k = 1 + bisect_left(classes, df[i], 0, rule - 1)
+            for size in range(min(k, o), k + 1):
+                if i + size <= n:
+                    first = tokens[i]
+                    out += [hash((rule, first, *rest)) for rest in combinations(tokens[i + 1 : n - o + size], size - 1)] if size > 1 else [hash((rule, first))]
     return out
 
 
@@ -94,7 +98,7 @@ def token_classes(n_sets: int, posting: int = POSTING, longest: int = LONGEST) -
     return tuple(max(posting, int((posting * max(n_sets, 1) ** (k - 1)) ** (1 / k))) for k in range(1, longest))
 
 
-def similar_sets(sets: DataFrame, threshold: float = 0.8, classes: tuple[int, ...] | None = None) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float = 0.8, classes: tuple[int, ...] | None = None, most: int = MOST_SIGNATURES) -> DataFrame:
     """(id_a, id_b, overlap, similarity) of all pairs of distinct sets with Jaccard similarity >= threshold.
 
     ``sets``: id (bigint, unique), words (array<bigint>, distinct). Exact: the
@@ -108,15 +112,14 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, classes: tuple[int, ..
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs, ids, sizes = [], [], []
-            for k, w, df in zip(batch.column("id").to_pylist(), batch.column("w"), batch.column("df")):
-                words = w.values.to_numpy().astype(_LONG)
-                for s in prefix_signatures(words, df.values.to_numpy(), threshold, classes):
-                    sigs.append(xxhash.xxh64_intdigest(s) - (1 << 63))
-                    ids.append(k)
-                    sizes.append(len(words))
+            for k, w, df in zip(batch.column("id").to_pylist(), batch.column("w").to_pylist(), batch.column("df").to_pylist()):
+                found = prefix_signatures(w, df, threshold, classes, most)
+                sigs += found
+                ids += [k] * len(found)
+                sizes += [len(w)] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32())], names=["sig", "id", "n"])
 
-    index = ordered.mapInArrow(sign, "sig bigint, id bigint, n int")
+    index = store(ordered.mapInArrow(sign, "sig bigint, id bigint, n int"))
     a, b = index.select("sig", F.col("id").alias("id_a"), F.col("n").alias("n_a")), index.select("sig", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
     fits = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
     candidates = a.join(b, "sig").where((F.col("id_a") < F.col("id_b")) & fits).select("id_a", "id_b").distinct()
@@ -126,7 +129,7 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, classes: tuple[int, ..
     return checked.withColumn("similarity", F.col("overlap") / (F.col("both") - F.col("overlap"))).where(F.col("similarity") >= threshold).select("id_a", "id_b", "overlap", "similarity")
 
 
-def near_duplicates(rows: DataFrame, key: str, text: str, threshold: float = 0.8, classes: tuple[int, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(rows: DataFrame, key: str, text: str, threshold: float = 0.8, classes: tuple[int, ...] | None = None, most: int = MOST_SIGNATURES) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the texts of ``rows``.
 
     members: key, id - texts with the same words have one id (a 64-bit hash of
@@ -137,7 +140,7 @@ def near_duplicates(rows: DataFrame, key: str, text: str, threshold: float = 0.8
     """
     members = store(word_sets(rows, key, text).select("key", F.xxhash64("words").alias("id"), "words"))
     sets = members.select("id", "words").dropDuplicates(["id"])
-    return members.select("key", "id"), similar_sets(sets, threshold, classes)
+    return members.select("key", "id"), similar_sets(sets, threshold, classes, most)
 
 
 def pairs_of_keys(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -139,8 +139,8 @@ def test_near_duplicates_against_brute_force(spark):
     data = [(f"k{i:03d}", t, "x") for i, t in enumerate(texts)] + [("k000", texts[0], "x"), ("n", None, "x"), (None, "a b", "x"), ("e", "!!", "x")]
     sets = {k: set(t.lower().split()) for k, t, _ in data if k and t and t != "!!"}
     want = sorted((a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7)
-    for classes in (None, (2, 4, 8), (1, 1, 1)):
-        members, links = neardup.near_duplicates(df(spark, data, "key string, text string, id string"), "key", "text", 0.7, classes)
+    for classes, most in ((None, 10_000), ((2, 4, 8), 10_000), ((1, 1, 1), 10_000), ((1, 1, 1), 12), ((1, 1, 1), 30)):
+        members, links = neardup.near_duplicates(df(spark, data, "key string, text string, id string"), "key", "text", 0.7, classes, most)
         assert rows(neardup.pairs_of_keys(members, links).select("key_a", "key_b")) == want
     groups = rows(neardup.groups_of_keys(members, links))
     assert len(groups) == len(sets) and all(g <= k for k, g, _ in groups)
@@ -148,6 +148,15 @@ def test_near_duplicates_against_brute_force(spark):
     assert rows(neardup.pairs_of_keys(members, links)) == []
 
 
+def test_signatures_of_long_texts_stay_few():
+    import time
+
+    for n in (64, 160, 2000):
+        began = time.time()
+        found = neardup.prefix_signatures(list(range(n)), [1000] * n, 0.7, (1, 2, 3))
+        assert len(found) <= 5 * neardup.MOST_SIGNATURES and time.time() - began < 2
+
+
 # items together
 
 
