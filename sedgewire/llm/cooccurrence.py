@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedgewire.runtime import store
+
 #: Items of one side of a block, and item occurrences of one record block.
 BLOCK_ITEMS, BLOCK_OCCURRENCES = 2048, 262_144
 #: Cells of the pair products that one addition handles at once.
@@ -59,15 +61,18 @@ def cooccurring(
 
     Items below ``min_count`` cannot be in a pair and are left out first. The
     rest of a group is split by hash into item blocks and record blocks as its
-    size asks for, each pair of item blocks of a record block is one Gram
-    product held in a dense array, and only its non-zero cells leave the task;
-    so neither a large group nor a large basket is expanded into pair rows.
+    size asks for; an item is a number in its block from then on. Blocks that
+    meet in some basket make one Gram product for each record block, held in a
+    dense array, and only its non-zero cells leave the task; so neither a large
+    group nor a large basket is expanded into pair rows, and an occurrence has
+    as many copies as its basket has blocks. Baskets are told apart by a 64-bit
+    hash inside their group.
     """
     g, r = F.col(group), F.col(basket)
     # one shuffle by basket; the distinct needs no other, and both uses below share it
     occurrences = (
         baskets.where(g.isNotNull() & r.isNotNull())
-        .select(g.alias("g"), F.xxhash64(r).alias("rh"), r.alias("r"), F.explode(F.array_distinct(items)).alias("item"))
+        .select(g.alias("g"), F.xxhash64(r).alias("r"), F.explode(F.array_distinct(items)).alias("item"))
         .where("item is not null and item <> ''")
         .repartition("g", "r")
         .dropDuplicates(["g", "r", "item"])
@@ -76,14 +81,16 @@ def cooccurring(
     counts = occurrences.groupBy("g", "item").agg(F.count("*").alias("a")).where(F.col("a") >= min_count)
     frequent = counts.groupBy("g").agg(F.count("*").alias("n_items"), F.sum("a").alias("n_occurrences")).join(sizes, "g")
     blocks = frequent.select("g", "n", F.ceil(F.col("n_items") / (0.7 * block_items)).cast("int").alias("item_blocks"), F.ceil(F.col("n_occurrences") / block_occurrences).cast("int").alias("record_blocks"))
-    placed = (
-        occurrences.join(counts, ["g", "item"])
-        .join(blocks, "g")
-        .select("g", "item", "a", "n", "record_blocks", "item_blocks", F.col("rh").alias("r"), F.pmod(F.xxhash64("item"), "item_blocks").cast("int").alias("own"), F.pmod("rh", "record_blocks").cast("int").alias("record_block"))
+    numbered = (
+        counts.join(blocks, "g")
+        .withColumn("own", F.pmod(F.xxhash64("item"), "item_blocks").cast("int"))
+        .withColumn("at", F.row_number().over(Window.partitionBy("g", "own").orderBy("item")) - 1)
     )
-    # each block meets every other one and itself: (own, other) in order
-    pairs = F.transform(F.sequence(F.lit(0), F.col("item_blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    spread = placed.withColumn("ij", F.explode(pairs)).select("g", "record_block", "record_blocks", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "own", "item", "a", "n", "r")
+    numbered = store(numbered.select("g", "item", F.col("a").cast("int").alias("a"), "n", "own", "at", "record_blocks"))
+    placed = occurrences.join(numbered, ["g", "item"]).select("g", "r", "own", "at", "a", "n", "record_blocks")
+    # the blocks of a basket meet one another and themselves: (own, other) in order
+    meeting = placed.withColumn("met", F.collect_set("own").over(Window.partitionBy("g", "r")))
+    spread = meeting.withColumn("other", F.explode("met")).select("g", F.pmod("r", "record_blocks").cast("int").alias("record_block"), "record_blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "at", "a", "n", "r")
 
     kept = {"min_count": min_count, "min_lift": min_lift}
 
@@ -93,28 +100,29 @@ def cooccurring(
         sides = []
         for own in (i, j):
             part = block[block["own"] == own]
-            names, index = np.unique(part["item"].to_numpy(object), return_inverse=True)
-            marginal = np.zeros(len(names), np.int64)
+            index = part["at"].to_numpy().astype(np.int64)
+            marginal = np.zeros(int(index.max(initial=-1)) + 1, np.int64)
             marginal[index] = part["a"].to_numpy()
-            sides.append((part["r"].to_numpy(), index.astype(np.int64), names, marginal))
-        (rows_a, cols_a, names_a, marg_a), (rows_b, cols_b, names_b, marg_b) = sides
+            sides.append((part["r"].to_numpy(), index, marginal))
+        (rows_a, cols_a, marg_a), (rows_b, cols_b, marg_b) = sides
         n = int(block["n"].iloc[0])
-        gram = _gram(rows_a, cols_a, rows_b, cols_b, len(names_a), len(names_b))
+        gram = _gram(rows_a, cols_a, rows_b, cols_b, len(marg_a), len(marg_b))
         if i == j:
             gram = np.triu(gram, 1)
         if whole:  # all records of the group are here, so the counts are final
-            keep = (gram >= kept["min_count"]) & (gram * n >= kept["min_lift"] * marg_a[:, None] * marg_b[None, :])
-            x, y = np.nonzero(keep)
+            x, y = np.nonzero((gram >= kept["min_count"]) & (gram * n >= kept["min_lift"] * marg_a[:, None] * marg_b[None, :]))
         else:
             x, y = np.nonzero(gram)
-        first, second = names_a[x], names_b[y]
-        swap = first > second
-        return pd.DataFrame(
-            {"g": key[0], "item_a": np.where(swap, second, first), "item_b": np.where(swap, first, second), "c": gram[x, y], "count_a": np.where(swap, marg_b[y], marg_a[x]), "count_b": np.where(swap, marg_a[x], marg_b[y]), "n": n}
-        )
+        return pd.DataFrame({"g": key[0], "i": i, "j": j, "x": x, "y": y, "c": gram[x, y]})
 
-    products = spread.groupBy("g", "record_block", "record_blocks", "i", "j").applyInPandas(product, "g string, item_a string, item_b string, c long, count_a long, count_b long, n long")
-    summed = products.groupBy("g", "item_a", "item_b").agg(F.sum("c").alias("together"), F.max("count_a").alias("count_a"), F.max("count_b").alias("count_b"), F.max("n").alias("n_baskets"))
-    return summed.where((F.col("together") >= min_count) & (F.col("together") * F.col("n_baskets") >= min_lift * F.col("count_a") * F.col("count_b"))).select(
-        F.col("g").alias(group), "item_a", "item_b", "together", "count_a", "count_b", "n_baskets", F.round(F.col("together") * F.col("n_baskets") / (F.col("count_a") * F.col("count_b")), 6).alias("lift")
-    )
+    products = spread.groupBy("g", "record_block", "record_blocks", "i", "j").applyInPandas(product, "g string, i int, j int, x int, y int, c long")
+    summed = products.groupBy("g", "i", "j", "x", "y").agg(F.sum("c").alias("together")).where(F.col("together") >= min_count)
+    side = lambda own, at, name, count: numbered.select("g", F.col("own").alias(own), F.col("at").alias(at), F.col("item").alias(name), F.col("a").cast("long").alias(count), *(["n"] if own == "i" else []))
+    named = summed.join(side("i", "x", "item_i", "count_i"), ["g", "i", "x"]).join(side("j", "y", "item_j", "count_j"), ["g", "j", "y"])
+    named = named.where(F.col("together") * F.col("n") >= min_lift * F.col("count_i") * F.col("count_j"))
+    first = F.col("item_i") < F.col("item_j")
+    either = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
+    return named.select(
+        F.col("g").alias(group), either("item_i", "item_j", "item_a"), either("item_j", "item_i", "item_b"), "together", either("count_i", "count_j", "count_a"), either("count_j", "count_i", "count_b"),
+        F.col("n").alias("n_baskets"), F.round(F.col("together") * F.col("n") / (F.col("count_i") * F.col("count_j")), 6).alias("lift"),
+    )
