@@ -76,11 +76,12 @@ def scan_distinct_text(
             take: list[int] = []
             out: list[list] = [[] for _ in names]
             for i, k in enumerate(keys.to_pylist()):
+                if not texts[i].is_valid:
+                    continue
                 found = kept.get(k) if k is not None else None
                 if found is None:
-                    value = texts[i].as_py()
-                    found = () if value is None else analyse(value)
-                    if k is not None and value is not None:
+                    found = analyse(texts[i].as_py())
+                    if k is not None:
                         if len(kept) >= CACHE_KEYS:
                             kept.clear()
                         kept[k] = found
@@ -99,6 +100,31 @@ def scan_distinct_text(
     return df.select(*dict.fromkeys([key, text, *carry])).mapInArrow(run, sql_schema)
 
 
+def scan_keys(df: DataFrame, key: str, text: str, analyse: Callable[[str], list[tuple]], fields: list[tuple[str, pa.DataType]], sql_schema: str) -> DataFrame:
+    """Like ``scan_distinct_text``, but a key's rows come once for each part of the table that holds it.
+
+    ``sql_schema`` begins with the key. Rows with a null key or text are skipped.
+    """
+    names = [key, *[f for f, _ in fields]]
+    types = [pa.string(), *[t for _, t in fields]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set = set()
+        for batch in batches:
+            texts, out = batch.column(text), []
+            for i, k in enumerate(batch.column(key).to_pylist()):
+                if k is None or k in met or not texts[i].is_valid:
+                    continue
+                if len(met) >= 50 * CACHE_KEYS:
+                    met.clear()
+                met.add(k)
+                out += [(k, *row) for row in analyse(texts[i].as_py())]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return df.select(key, text).mapInArrow(run, sql_schema)
+
+
 #: Distinct texts whose results one Python worker keeps at a time.
 CACHE_KEYS = 20_000
 
