@@ -1,10 +1,11 @@
 """Credentials embedded in source code: find and redact.
 
-What may be a credential is indexed with where it stands, values that many
-owners share are dropped as placeholders, rare structured and named values are
-confirmed (token formats nobody listed are learned from the confirmed ones),
-and every body is read again for the confirmed values with an automaton; those
-that prove to stand with many owners, under whatever name, are dropped too.
+All literals are indexed corpus-wide with where they stand and what speaks for
+their being credentials; values that many owners share, under whatever name, are
+dropped as placeholders, rare structured and named values are confirmed (token
+formats nobody listed are learned from the confirmed ones), and every body is
+read again for the confirmed values with an automaton, the owners of all places
+found being counted once more.
 """
 
 from __future__ import annotations
@@ -12,16 +13,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from math import log2
 
 import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.runtime import scan_distinct_text, store
+from sedgewire.runtime import scan_keys, store
 
 #: A named value of more owners is a placeholder; a token format is learned from so many confirmed values; confirmed values per automaton.
 MOST_OWNERS, FORMAT_VALUES, AUTOMATON_VALUES = 20, 4, 200_000
@@ -68,20 +71,22 @@ _URL_PARAM = re.compile(r"[?&](?:\w*token|sig|signature|\w*key|code|\w*secret|pa
 _WEBHOOK = re.compile(r"https?://hooks\.[\w.-]+/(?:services/)?(?:[A-Z]\w{6,}/){2}(\w{20,})")
 _AUTH = re.compile(r"\b(Bearer|Basic|Token|ApiKey)\s+([A-Za-z0-9+/=_.~-]{8,})")
 _FLAG = re.compile(r"(?<![\w-])--(?:[a-z]+-)*(?:password|passwd|pass|pwd|token|secret|api-?key|access-key|passphrase)(?:=|\s+)[\"']?([^\s\"'`,;|]+)", re.I)
-_SHORT_P = re.compile(r"\b(?:\w*sql\w*|mysqldump|mongo\w*|sshpass)\b[^\n\"'`;|]{0,120}?\s-p ?([^\s\"'`,;|-][^\s\"'`,;|]*)")
-_USER_PASS = re.compile(r"\b(?:curl|wget|http|https)\b[^\n\"'`;|]{0,160}?\s(?:-u|--user)[ =]?[\"']?([^\s:\"'`]+):([^\s\"'`]+)")
+_SHORT_P = re.compile(r"\b(?:\w*sql\w*|mysqldump|mongo\w*|sshpass)\b[^\n\"'`;|]*?\s-p ?([^\s\"'`,;|-][^\s\"'`,;|]*)")
+_USER_PASS = re.compile(r"\b(?:curl|wget|http|https)\b[^\n\"'`;|]*?\s(?:-u|--user)[ =]?[\"']?([^\s:\"'`]+):([^\s\"'`]+)")
 _LITERAL = re.compile(
     r"(?P<doc>\"\"\"(?:\\.|(?!\"\"\")[^\\])*\"\"\"|'''(?:\\.|(?!''')[^\\])*''')|\"(?P<dq>(?:\\.|[^\"\\\n])*)\"|'(?P<sq>(?:\\.|[^'\\\n])*)'|`(?P<bq>(?:\\.|[^`\\])*)`|(?P<note>(?<!:)//[^\n]*|(?:(?<=\s)|^)#(?![!{])[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)",
     re.S | re.M,
 )
-_NAME_BEFORE = re.compile(r"(?:^|[\s({\[,;.&|])([A-Za-z_$\u00c0-\uffff][\w$-]*)\]?\s*(?::\s*[\w<>\[\]|. ]{1,40}?\s*)?(?::=|\?\?=|\|\|=|=>|=|:|<-)\s*\(?\s*[rbuf@$]{0,2}$")
-_ENV_BEFORE = re.compile(r"(?:env(?:iron)?\.|getenv\(\)\.)?(?:get|getenv|getOrDefault|getProperty|env|setdefault|setProperty|put|set|header|add|append)\(\s*$|[\[{(,]\s*$")
-_ENV_DEFAULT = re.compile(r"(?:process\.env\.|import\.meta\.env\.|ENV\.|env\.)(\w+)\s*(?:\?\?|\|\|)\s*$|(?:environ|env|ENV)\[\s*[\"'](\w+)[\"']\s*\]\s*(?:\?\?|\|\||or)\s*$")
-_SETTER = re.compile(r"\b(?:set|with|use)_?([A-Za-z_]\w+)\(\s*$")
+# What stands before a literal, read backwards from it: no window is needed.
+_NAME_BEFORE = re.compile(r"[rbuf@$]{0,2}\s*\(?\s*(?:=:|=\?\?|=\|\||>=|=|:|-<)\s*(?:[\w<>\[\]|. ]{1,200}?\s*:\s*)?\]?([\w$-]*[A-Za-z_$\u00c0-\uffff])(?=[\s({\[,;.&|]|\Z)")
+_ENV_DEFAULT = re.compile(r"\s*(?:\?\?|\|\|)\s*(\w+)\.(?:vne|VNE)\b|\s*(?:\?\?|\|\||ro)\s*\]\s*[\"'](\w+)[\"']\s*\[(?:norivne|vne|VNE)")
+_CALLED = re.compile(r"\s*\((\w+)")
+_SETTER = re.compile(r"(?:set|with|use)_?([A-Za-z_]\w+)")
+_OPENED = re.compile(r"\s*[\[{(,]")
 _SHELL_DEFAULT = re.compile(r"\$\{(\w+):?[-=]([^}$]+)\}")
 _SHELL_PLAIN = re.compile(r"(?m)^\s*(?:export\s+|local\s+|readonly\s+|declare\s+(?:-\w+\s+)?|set\s+)?([A-Za-z_]\w*)=([^\s\"'`$;|&()<>]+)")
-_INNER = re.compile(r"\\?[\"']([\w.-]{2,60})\\?[\"']\s*:\s*\\?[\"']((?:[^\"'\\]|\\[^\"'])+)\\?[\"']")
-_INNER_PLAIN = re.compile(r"(?<![\w.-])([A-Za-z_][\w-]{1,50})=([^\s;&,\"'`<>]{6,})")
+_INNER = re.compile(r"\\?[\"']([\w.-]{2,})\\?[\"']\s*:\s*\\?[\"']((?:[^\"'\\]|\\[^\"'])+)\\?[\"']")
+_INNER_PLAIN = re.compile(r"(?<![\w.-])([A-Za-z_][\w-]+)=([^\s;&,\"'`<>]{6,})")
 _NOTE = re.compile(r"(?<![\w])((?:[^\W\d_][\w-]*\s+){0,3}[^\W\d_][\w-]*)\s*(?:=|:|\bis\b|\bwas\b|->|=>)\s*[\"'`]?([^\s\"'`]{6,})")
 _NOTE_LOGIN = re.compile(r"\b(?:login|logon|account|user)\b:?\s+[\w.@-]+\s*(?:/|:|\bpw\b|\bpass(?:word)?\b)\s*([^\s\"'`]{6,})", re.I)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[_\W]+")
@@ -160,24 +165,18 @@ def _digest(text: str) -> str:
 
 def candidates(text: str) -> list[tuple[int, str, str]]:
     """(line, value, kind) of what may be a credential; kind: listed (private keys and listed formats), sure, named or shaped (to be confirmed by its format)."""
-    found: dict[tuple[int, str], str] = {}
+    return [(at, value, kind) for at, value, kind in literals(text) if kind]
+
+
+def literals(text: str) -> list[tuple[int, str, str | None]]:
+    """(line, value, kind) of all literals of a text, and of values inside them, in its comments and commands that may be credentials; no kind if nothing speaks for it."""
+    found: dict[tuple[int, str], str | None] = {}
     ends = [m.start() for m in re.finditer("\n", text)]
+    back, n = text[::-1], len(text)
 
-    def line(at: int) -> int:
-        lo, hi = 0, len(ends)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if ends[mid] < at:
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo + 1
-
-    def add(at: int, value: str, kind: str) -> None:
-        key = (line(at), value)
-        if kind == "listed" or found.get(key) != "listed" and (kind == "sure" or found.get(key) != "sure"):
-            if kind == "shaped" and key in found:
-                return
+    def add(at: int, value: str, kind: str | None) -> None:
+        key = (bisect_left(ends, at) + 1, value)
+        if _STRENGTH[kind] > _STRENGTH[found.get(key)] or key not in found:
             found[key] = kind
 
     for m in _PEM.finditer(text):
@@ -231,17 +230,16 @@ def candidates(text: str) -> list[tuple[int, str, str]]:
             value += body(spans[i])
             end = spans[i].end()
             i += 1
-        before = text[max(0, start - 160) : start]
         names: list[str] = []
-        if x := _NAME_BEFORE.search(before):
-            names.append(x[1])
-        if x := _ENV_DEFAULT.search(before):
-            names.append(x[1] or x[2])
-        if x := _SETTER.search(before):
+        if x := _NAME_BEFORE.match(back, n - start):
+            names.append(x[1][::-1])
+        if x := _ENV_DEFAULT.match(back, n - start):
+            names.append((x[1] or x[2])[::-1])
+        if (x := _CALLED.match(back, n - start)) and (x := _SETTER.fullmatch(x[1][::-1])):
             names.append(x[1])
         if previous and re.fullmatch(r"\s*\]?\s*(?:[:,=]|=>|:=)\s*[rbuf]{0,2}", text[previous[1] : start]):
             between = text[previous[1] : start]
-            if "," not in between or _ENV_BEFORE.search(text[max(0, previous[0] - 40) : previous[0]]):
+            if "," not in between or _OPENED.match(back, n - previous[0]):
                 names.append(previous[2])
         if end - start > len(value) + 2 and _KNOWN.match(value) and not is_placeholder(value):
             add(first_line_at, value, "listed")  # joined from several literals
@@ -251,6 +249,7 @@ def candidates(text: str) -> list[tuple[int, str, str]]:
         elif looks_random(value) and value_format(value):
             add(first_line_at, value, "shaped")
         if value:
+            add(first_line_at, value, None)
             for x in _SHELL_DEFAULT.finditer(value):
                 if names_credential(x[1]) and looks_secret(x[2]):
                     add(start + 1, x[2], "named")
@@ -268,58 +267,70 @@ def candidates(text: str) -> list[tuple[int, str, str]]:
     return [(at, value, kind) for (at, value), kind in found.items()]
 
 
-def _analyse(text: str) -> list[tuple]:
-    lines = text.split("\n")
-    return [(at, value, kind, value_format(value) if kind not in ("listed", "sure") else None, _digest(lines[at - 1].replace(value, "").strip())) for at, value, kind in candidates(text)]
+#: Kinds of a literal, the stronger the greater.
+_STRENGTH = {None: 0, "shaped": 1, "named": 2, "sure": 3, "listed": 4}
+_INDEX = "key string, line_no bigint, literal bigint, context bigint, value string, kind string, format string"
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _indexed(text: str) -> list[tuple]:
+    lines, out = text.split("\n"), []
+    for at, value, kind in literals(text):
+        format_ = value_format(value) if kind in ("named", "shaped") else None
+        out.append((at, _hash(value), _hash(lines[at - 1].replace(value, "").strip()), value if kind else None, kind, format_))
+    return out
+
 
+def index_literals(bodies: DataFrame) -> DataFrame:
+    """(key, line_no, literal, context, value, kind, format) of all literals of the bodies (key, text).
 
-def find_candidates(rows: DataFrame, row_id: str, owner: str, key: str, text: str) -> DataFrame:
-    """(row_id, owner, line_no, value, kind, format, context) of everything that may be a credential; the context is a hash of the rest of its line."""
-    named = rows.select(F.col(row_id).alias("row_id"), F.col(owner).alias("owner"), F.col(key).alias("key"), F.col(text).alias("text"))
-    return scan_distinct_text(
-        named, "key", "text", ["row_id", "owner"], _analyse, [("line_no", pa.int64()), ("value", pa.string()), ("kind", pa.string()), ("format", pa.string()), ("context", pa.string())], "row_id string, owner string, line_no bigint, value string, kind string, format string, context string"
-    )
+    literal is a hash of the value and context one of the rest of its line;
+    value and kind are null if nothing speaks for its being a credential.
+    """
+    return scan_keys(bodies, "key", "text", _indexed, [("line_no", pa.int64()), ("literal", pa.int64()), ("context", pa.int64()), ("value", pa.string()), ("kind", pa.string()), ("format", pa.string())], _INDEX)
 
 
-def confirm(found: DataFrame, most_owners: int = MOST_OWNERS, format_values: int = FORMAT_VALUES) -> DataFrame:
-    """Values that are credentials: those few owners share, of a listed or a learned format or under a credential's name.
+def _owners(places: DataFrame, holders: DataFrame) -> DataFrame:
+    """(literal, owners): the lesser of the owners and the different lines of each literal among ``places`` (literal, key, context).
 
     Copies of one body have many owners too, but hold the value in one line of
-    code; a placeholder stands in many different ones. So a value is dropped if
-    both its owners and its lines are more than ``most_owners``. Private keys
-    and listed formats are no placeholders, however many hold them.
+    code; a placeholder stands in many different ones.
     """
-    count = lambda c: found.select("value", c).distinct().groupBy("value").agg(F.count("*").alias(c))
-    owners = count("owner").join(count("context"), "value").select("value", F.least("owner", "context").alias("owners"))
-    kinds = found.groupBy("value").agg(F.bool_or(F.col("kind") == "listed").alias("listed"), F.bool_or(F.col("kind").isin("listed", "sure")).alias("sure"), F.bool_or(F.col("kind") == "named").alias("named"), F.max("format").alias("format"))
-    values = kinds.join(owners, "value").where(F.col("listed") | (F.col("owners") <= most_owners))
-    formats = values.where("named and format is not null").groupBy("format").agg(F.count("*").alias("n")).where(F.col("n") >= format_values).select("format", F.lit(True).alias("learned"))
-    return values.join(formats, "format", "left").where(F.col("sure") | F.col("named") | F.coalesce("learned", F.lit(False))).select("value", "listed")
+    count = lambda df, c: df.select("literal", c).distinct().groupBy("literal").agg(F.count("*").alias(c))
+    owner = count(places.select("literal", "key").distinct().join(holders, "key"), "owner")
+    return owner.join(count(places, "context"), "literal").select("literal", F.least("owner", "context").alias("owners"))
 
 
-def widespread(places: DataFrame, confirmed: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """Confirmed values, but keys and listed formats, that stand with more than ``most_owners`` owners and in more than as many lines.
+def confirm(index: DataFrame, holders: DataFrame, most_owners: int = MOST_OWNERS, format_values: int = FORMAT_VALUES) -> DataFrame:
+    """(value, literal, listed) of the values that are credentials: those few owners share, of a listed or a learned format or under a credential's name.
 
-    Unlike ``confirm``, this counts every place of a value in the corpus,
-    whatever name it stands under there.
+    Owners and lines are counted over all literals of the index. Private keys
+    and listed formats are no placeholders, however many hold them.
     """
-    bound = places.join(confirmed.where(~F.col("listed")).select("value"), "value", "left_semi")
-    count = lambda c: bound.select("value", c).distinct().groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > most_owners).select("value")
-    return count("owner").join(count("context"), "value")
+    found = index.where("kind is not null")
+    kinds = found.groupBy("value", "literal").agg(F.bool_or(F.col("kind") == "listed").alias("listed"), F.bool_or(F.col("kind").isin("listed", "sure")).alias("sure"), F.bool_or(F.col("kind") == "named").alias("named"), F.max("format").alias("format"))
+    owners = _owners(index.select("literal", "key", "context").join(found.select("literal").distinct(), "literal", "left_semi"), holders)
+    values = kinds.join(owners, "literal").where(F.col("listed") | (F.col("owners") <= most_owners))
+    formats = values.where("named and format is not null").groupBy("format").agg(F.count("*").alias("n")).where(F.col("n") >= format_values).select("format", F.lit(True).alias("learned"))
+    return values.join(formats, "format", "left").where(F.col("sure") | F.col("named") | F.coalesce("learned", F.lit(False))).select("value", "literal", "listed")
 
 
-_automata: dict = {}
+_automata: dict[str, ahocorasick.Automaton] = {}
 
 
-def _automaton(key: str, values: list[str]) -> ahocorasick.Automaton:
-    if key not in _automata:
+def _automaton(name: str, values: list[str]) -> ahocorasick.Automaton:
+    """The automaton of a block of values; a worker keeps the last one."""
+    if name not in _automata:
         _automata.clear()
         machine = ahocorasick.Automaton()
         for v in values:
             machine.add_word(v, v)
         machine.make_automaton()
-        _automata[key] = machine
-    return _automata[key]
+        _automata[name] = machine
+    return _automata[name]
 
 
 def _whole(text: str, lo: int, hi: int) -> bool:
@@ -330,20 +341,19 @@ def _quoted(text: str, lo: int, hi: int) -> bool:
     return lo > 0 and text[lo - 1] in "\"'`" and text[hi : hi + 1] == text[lo - 1]
 
 
-def rescan(rows: DataFrame, confirmed: DataFrame, row_id: str, owner: str, key: str, text: str, block: int = AUTOMATON_VALUES) -> DataFrame:
-    """(row_id, owner, line_no, value, context) of every place where a confirmed value stands; one under 8 characters only as a whole quoted literal.
+def rescan(bodies: DataFrame, confirmed: DataFrame, block: int = AUTOMATON_VALUES) -> DataFrame:
+    """(key, line_no, literal, context, value) of every place where a confirmed value stands; one under 8 characters only as a whole quoted literal.
 
     The values go to the workers in blocks of bounded size, one pass over the
-    rows per block.
+    bodies per block.
     """
-    spark = rows.sparkSession
+    spark = bodies.sparkSession
     values = confirmed.where(~F.col("value").rlike("^BEGIN .*:")).select("value")
     total = values.count()
     out = None
-    named = rows.select(F.col(row_id).alias("row_id"), F.col(owner).alias("owner"), F.col(key).alias("key"), F.col(text).alias("text"))
     for at in range(blocks := max(1, -(-total // max(1, block * 4 // 5)))):
-        some = [r.value for r in values.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == at).collect()] if total else []  # at most about AUTOMATON_VALUES
-        sent, name = spark.sparkContext.broadcast(some), f"{id(confirmed)}-{at}-{len(some)}-{hash(tuple(some[:50]))}"
+        some = sorted(r.value for r in values.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == at).collect()) if total else []  # at most about AUTOMATON_VALUES
+        sent, name = spark.sparkContext.broadcast(some), _digest("\0".join(some))
 
         def analyse(body: str, sent=sent, name=name) -> list[tuple]:
             if not sent.value:
@@ -354,10 +364,10 @@ def rescan(rows: DataFrame, confirmed: DataFrame, row_id: str, owner: str, key:
                 if _quoted(body, lo, end + 1) if len(v) < 8 else _whole(body, lo, end + 1):
                     first, last = body.rfind("\n", 0, lo) + 1, body.find("\n", lo)
                     line = body[first : last if last >= 0 else len(body)]
-                    hits[body.count("\n", 0, lo) + 1, v] = _digest(line.replace(v, "").strip())
-            return [(line_no, v, context) for (line_no, v), context in hits.items()]
+                    hits[body.count("\n", 0, lo) + 1, v] = _hash(line.replace(v, "").strip())
+            return [(line_no, _hash(v), context, v) for (line_no, v), context in hits.items()]
 
-        part = scan_distinct_text(named, "key", "text", ["row_id", "owner"], analyse, [("line_no", pa.int64()), ("value", pa.string()), ("context", pa.string())], "row_id string, owner string, line_no bigint, value string, context string")
+        part = scan_keys(bodies, "key", "text", analyse, [("line_no", pa.int64()), ("literal", pa.int64()), ("context", pa.int64()), ("value", pa.string())], "key string, line_no bigint, literal bigint, context bigint, value string")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -366,17 +376,21 @@ def find_credentials(rows: DataFrame, row_id: str, owner: str, key: str, text: s
     """(row_id, line_no, value) of the credentials in ``text``; line_no is the line on which the value begins.
 
     ``key`` names equal texts (a hash of the text), ``owner`` who holds a
-    value. Null texts have no rows, null keys are read one by one; texts are
-    read whole; repeated rows give one row; an empty table gives none; other
-    columns are not read. A private key's value stands as its kind and a hash
-    of the whole key.
+    value. Null texts have no rows, a text with a null key is known by its own
+    hash; texts are read whole; repeated rows give one row; an empty table
+    gives none; other columns are not read. A private key's value stands as its
+    kind and a hash of the whole key.
     """
-    found = store(find_candidates(rows, row_id, owner, key, text))
-    confirmed = store(confirm(found, **limits))
-    taken = found.join(confirmed, "value", "left_semi").select("row_id", "owner", "line_no", "value", "context")
-    places = store(taken.unionByName(rescan(rows, confirmed, row_id, owner, key, text)))
-    common = widespread(places, confirmed, limits.get("most_owners", MOST_OWNERS))
-    return places.join(common, "value", "left_anti").select("row_id", "line_no", "value").distinct()
+    held = rows.where(F.col(text).isNotNull()).select(F.col(row_id).alias("row_id"), F.col(owner).alias("owner"), F.coalesce(F.col(key), F.concat(F.lit("text "), F.sha2(text, 256))).alias("key"), F.col(text).alias("text"))
+    bodies, holders = held.select("key", "text"), held.select("key", F.coalesce("owner", F.lit("")).alias("owner")).distinct()
+    index = store(index_literals(bodies))
+    confirmed = store(confirm(index, holders, **limits))
+    taken = index.where("kind is not null").join(confirmed.select("value"), "value", "left_semi").select("key", "line_no", "literal", "context", "value")
+    places = store(taken.unionByName(rescan(bodies, confirmed)).distinct())
+    bound = places.join(confirmed.where(~F.col("listed")).select("literal"), "literal", "left_semi")
+    common = _owners(bound, holders).where(F.col("owners") > limits.get("most_owners", MOST_OWNERS)).select("literal")
+    left = places.join(common, "literal", "left_anti").select("key", "line_no", "value").distinct()
+    return held.select("row_id", "key").join(left, "key").select("row_id", "line_no", "value").distinct()
 
 
 def redact(text: str, values: list[str], mask: str = "REDACTED") -> str:
