@@ -198,6 +198,7 @@ def test_body_signs():
     assert sign("x = [\n" + "  0x3a94d1, 7754245, 4998152,\n" * 20 + "]") == ["blob"]
     assert sign("!function(e,t){" + "a.b=c(d[e]);" * 40 + "}()") == ["minified"]
     assert sign('q = "select ' + "col_name, " * 60 + '"') == ["plain"]
+    assert sign("!function(e,t){" + "a.b=c(d[e]);" * 20 + "}()") == ["minified"]
 
 
 def test_labels_of_a_tree(spark):
@@ -209,6 +210,17 @@ def test_labels_of_a_tree(spark):
     assert rows(provenance.label_files(files.limit(0), df(spark, [], "snapshot_id string, repo_id string"), versions)) == []
 
 
+def test_levels_as_jobs_or_in_one_task_agree(spark):
+    random.seed(4)
+    names = ["src", "gen", "vendor", "kit-1.2.3", "lib", "dist", "generated", "a"]
+    paths = sorted({"/".join(random.choices(names, k=random.randint(0, 6)) + [random.choice(["x.ts", "y.min.js", "z.pb.go", "w.ts"])]) for _ in range(300)} | {"/".join(["d"] * 300 + ["deep.ts"])})
+    evidence = df(spark, [("r" if i % 3 else "q", p, *[random.choice([0.0, 0.5, 12.0 * (random.random() < 0.2)]) for _ in range(5)]) for i, p in enumerate(paths)], "tree string, path string, e0 double, e1 double, e2 double, e3 double, e4 double")
+    whole = rows(provenance.propagate(evidence, 100_000))
+    assert len(whole) == len(paths) and len({x for *_, x in whole}) > 2
+    assert rows(provenance.propagate(evidence.where("length(path) < 300"), 0)) == [x for x in whole if len(x[1]) < 300]
+    assert rows(provenance.propagate(evidence, 400)) == whole
+
+
 # tokens
 
 
