@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sedgewire.llm.bpe import TOKENIZERS, encode_column
 from sedgewire.runtime import cut, store
 
-#: Tokens of a block, blocks of an output shard, parts of a source for running sums.
+#: Tokens of a block, blocks of an output shard, parts of a source (and shards of a chunk) for running sums.
 BLOCK_TOKENS, SHARD_BLOCKS, PARTS = 256, 1024, 4096
 
 
@@ -141,7 +141,11 @@ def mix_sources(
 
     tasks = max(1, min(n_shards, 4096))
     counts = cut(spark.range(0, n_shards, 1, tasks).mapInPandas(count, "shard long, s int, n long"))
-    running = counts.select("shard", "s", (F.sum("n").over(Window.partitionBy("s").orderBy("shard")) - F.col("n")).alias("base"))
+    counts = counts.withColumn("chunk", F.expr(f"shard div {PARTS}"))
+    chunks = counts.groupBy("s", "chunk").agg(F.sum("n").alias("chunk_n"))  # running sums of chunks first, so that no source's shards are held by one task
+    before = chunks.select("s", "chunk", (F.sum("chunk_n").over(Window.partitionBy("s").orderBy("chunk")) - F.col("chunk_n")).alias("chunk_base"))
+    inside = F.sum("n").over(Window.partitionBy("s", "chunk").orderBy("shard")) - F.col("n")
+    running = counts.withColumn("inside", inside).join(before, ["s", "chunk"]).select("shard", "s", (F.col("chunk_base") + F.col("inside")).alias("base"))
     bases = running.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "base"))), lambda x: x["base"]).alias("bases"))
     drawn = np.zeros(len(names), np.int64)
     for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect():  # one row per target
