@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sedgewire.functions import text as T
@@ -10,6 +10,10 @@ from sedgewire.operators.snapshots import latest_rows
 from sedgewire.runtime import table
 
 
+def _known(time: str) -> Column:
+    return F.coalesce(time, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def versions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Symbol versions, one row per id, with one spelling of language; only the named columns besides the id."""
     columns = tuple(c for c in columns if c != "symbol_version_id")
@@ -17,6 +21,25 @@ def versions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return rows.groupBy("symbol_version_id").agg(*[F.max(c).alias(c) for c in columns])
 
 
+def timed_versions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``versions`` with their snapshot and its time t (the epoch if unknown), by which they follow one another."""
+    times = snapshots(spark, sf_dir).select("snapshot_id", F.col("created_at").alias("t"))
+    return versions(spark, sf_dir, "snapshot_id", *columns).join(times, "snapshot_id", "left").withColumn("t", _known("t"))
+
+
+def in_time() -> WindowSpec:
+    """The versions of a symbol, the earliest first."""
+    return Window.partitionBy("symbol_id").orderBy("t", "snapshot_id", "symbol_version_id")
+
+
+def body_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol_id, a, b): distinct bodies of a symbol that follow one another in the order of their first appearance."""
+    times = snapshots(spark, sf_dir).select("snapshot_id", F.col("created_at").alias("t"))
+    rows = table(spark, sf_dir, "symbol_versions").select("symbol_id", "snapshot_id", "body_hash").join(bodies(spark, sf_dir).select("body_hash"), "body_hash", "left_semi").join(times, "snapshot_id", "left")
+    first = rows.groupBy("symbol_id", F.col("body_hash").alias("b")).agg(F.min(F.struct(_known("t"), F.coalesce("snapshot_id", F.lit("")))).alias("f"))
+    return first.select("symbol_id", F.lag("b").over(Window.partitionBy("symbol_id").orderBy("f", "b")).alias("a"), "b").where("a is not null")
+
+
 def files(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Files by their latest delivery."""
     return latest_rows(table(spark, sf_dir, "files").select("file_id", "loaded_at", *[T.language(F.col(c)).alias(c) if c == "language" else F.col(c) for c in columns if c != "file_id"]), "file_id", "loaded_at")

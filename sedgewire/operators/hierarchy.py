@@ -197,3 +197,18 @@ def descendants(paths: DataFrame) -> DataFrame:
         .where("at < depth")
         .select("node", "descendant", (F.col("depth") - F.col("at")).cast("long").alias("distance"))
     )
+
+
+def ancestors(links: DataFrame, most: int = 100) -> DataFrame:
+    """(node, ancestor, depth): ancestors up to ``most`` steps away, with the fewest steps; round a circle a node meets itself.
+
+    ``links``: node, parent, one row per node. The steps double from join to join.
+    """
+    walk = store(links.where("node is not null and parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")))
+    reach = 1
+    while reach < most:
+        far = walk.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"))
+        near = walk.where(F.col("depth") <= most - reach).select(F.col("node").alias("via"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        walk = store(walk.unionByName(far.join(near, "via").select("node", "ancestor", "depth")))
+        reach = min(2 * reach, most)
+    return walk.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))

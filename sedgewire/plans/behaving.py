@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewire.functions import patterns as P
 from sedgewire.functions import text as T
 from sedgewire.operators import behavior as B
 from sedgewire.operators import corpus
-from sedgewire.plans.registry import LANG, SNAPSHOTS, VERSIONS, Registry
+from sedgewire.plans.registry import BODY_STEPS, IN_TIME, LANG, TIMED, VERSIONS, Registry
 from sedgewire.runtime import table
 
 r = Registry()
@@ -49,13 +49,7 @@ def beh2_beh3_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body_profiles(spark, sf_dir).select("body_hash", "purity_class", _joined("resource_touches"), _joined("exception_profile"))
 
 
-_STEPS = "st AS (SELECT symbol_id, body_hash AS b, lag(body_hash) OVER (PARTITION BY symbol_id ORDER BY body_hash) AS a FROM (SELECT DISTINCT symbol_id, body_hash FROM symbol_versions WHERE body_hash IN (SELECT body_hash FROM lb)))"
-
-
-def body_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol_id, a, b): neighbouring distinct bodies of a symbol."""
-    rows = table(spark, sf_dir, "symbol_versions").where("body_hash is not null and body_source is not null").select("symbol_id", F.col("body_hash").alias("b")).distinct()
-    return rows.withColumn("a", F.lag("b").over(Window.partitionBy("symbol_id").orderBy("b"))).where("a is not null")
+_STEPS = BODY_STEPS.format("lb")
 
 
 def _sided(df: DataFrame, side: str, key: str = "body_hash") -> DataFrame:
@@ -65,7 +59,7 @@ def _sided(df: DataFrame, side: str, key: str = "body_hash") -> DataFrame:
 @r.query("WITH " + _PROFILE + ", " + _STEPS + " SELECT symbol_id, st.a, st.b, CASE WHEN y.level > x.level THEN 'escalated' WHEN y.level < x.level THEN 'deescalated' ELSE 'same' END AS direction, array_to_string(list_sort(list_filter(y.touches, lambda t: NOT list_contains(x.touches, t))), ';') AS new_touches, array_to_string(list_sort(list_filter(x.touches, lambda t: NOT list_contains(y.touches, t))), ';') AS removed_touches FROM st JOIN pf x ON x.body_hash = st.a JOIN pf y ON y.body_hash = st.b WHERE st.a IS NOT NULL")
 def beh4_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = body_profiles(spark, sf_dir).select("body_hash", "purity_level", "resource_touches")
-    both = body_steps(spark, sf_dir).join(_sided(p, "a"), "a").join(_sided(p, "b"), "b")
+    both = corpus.body_steps(spark, sf_dir).join(_sided(p, "a"), "a").join(_sided(p, "b"), "b")
     direction = F.when(F.col("purity_level_b") > F.col("purity_level_a"), "escalated").when(F.col("purity_level_b") < F.col("purity_level_a"), "deescalated").otherwise("same")
     new = lambda x, y: F.array_join(F.array_sort(F.array_except(x, y)), ";")
     return both.select("symbol_id", "a", "b", direction.alias("direction"), new("resource_touches_b", "resource_touches_a").alias("new_touches"), new("resource_touches_a", "resource_touches_b").alias("removed_touches"))
@@ -91,12 +85,12 @@ def con1_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @r.query(
-    f"WITH {VERSIONS}, {_CONTRACT}, w AS (SELECT *, lag(symbol_version_id) OVER o AS prev, lag(input_contract) OVER o AS i0, lag(output_contract) OVER o AS o0, lag(error_contract) OVER o AS e0 FROM ct WINDOW o AS (PARTITION BY symbol_id ORDER BY symbol_version_id)) "
+    f"WITH {VERSIONS}, {TIMED}, {_CONTRACT}, w AS (SELECT ct.*, t, snapshot_id, lag(symbol_version_id) OVER o AS prev, lag(input_contract) OVER o AS i0, lag(output_contract) OVER o AS o0, lag(error_contract) OVER o AS e0 FROM ct JOIN (SELECT symbol_version_id, t, snapshot_id FROM vt) USING (symbol_version_id) WINDOW o AS " + IN_TIME + ") "
     "SELECT prev AS before_id, symbol_version_id AS after_id, input_contract IS DISTINCT FROM i0 AS input_changed, output_contract IS DISTINCT FROM o0 AS output_changed, error_contract IS DISTINCT FROM e0 AS error_changed FROM w WHERE prev IS NOT NULL"
 )
 def con4_dif2_compare_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("symbol_id").orderBy("symbol_version_id")
-    rows = contracts(spark, sf_dir)
+    w = corpus.in_time()
+    rows = contracts(spark, sf_dir).join(corpus.timed_versions(spark, sf_dir), "symbol_version_id")
     changed = lambda c: (~F.col(c).eqNullSafe(F.lag(c).over(w))).alias(c.split("_")[0] + "_changed")
     return rows.select(F.lag("symbol_version_id").over(w).alias("before_id"), F.col("symbol_version_id").alias("after_id"), changed("input_contract"), changed("output_contract"), changed("error_contract")).where("before_id is not null")
 
@@ -175,7 +169,7 @@ def eff1_eff3_profile_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @r.query("WITH " + _EFF + ", " + _STEPS + " SELECT symbol_id, st.a, st.b, array_to_string(list_sort(list_filter(y.e, lambda t: NOT list_contains(x.e, t))), ';') AS added, array_to_string(list_sort(list_filter(x.e, lambda t: NOT list_contains(y.e, t))), ';') AS removed FROM st JOIN ef x ON x.body_hash = st.a JOIN ef y ON y.body_hash = st.b WHERE st.a IS NOT NULL")
 def eff8_effect_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = body_effects(spark, sf_dir)
-    both = body_steps(spark, sf_dir).join(_sided(e, "a"), "a").join(_sided(e, "b"), "b")
+    both = corpus.body_steps(spark, sf_dir).join(_sided(e, "a"), "a").join(_sided(e, "b"), "b")
     less = lambda x, y: F.array_join(F.array_sort(F.array_except(x, y)), ";")
     return both.select("symbol_id", "a", "b", less("effects_b", "effects_a").alias("added"), less("effects_a", "effects_b").alias("removed"))
 

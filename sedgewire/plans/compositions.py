@@ -13,7 +13,7 @@ from sedgewire.plans.behaving import _HINTS, _INVARIANTS, body_profiles, invaria
 from sedgewire.operators import behavior as B
 from sedgewire.plans.graphs import _E
 from sedgewire.plans.history import _COMMITS, _PAIRS, _pairs
-from sedgewire.plans.registry import FILES, SNAPSHOTS, VERSIONS, Registry
+from sedgewire.plans.registry import FILES, IN_TIME, SNAPSHOTS, TIMED, VERSIONS, Registry
 from sedgewire.runtime import table
 
 r = Registry()
@@ -73,18 +73,18 @@ def gr5_relation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @r.query(
-    _E + ", st AS (SELECT symbol_id, symbol_version_id AS b, lag(symbol_version_id) OVER (PARTITION BY symbol_id ORDER BY symbol_version_id) AS a FROM v), nm AS (SELECT symbol_version_id AS id, symbol_id AS sym FROM v), "
+    _E + f", {TIMED}, st AS (SELECT symbol_id, symbol_version_id AS b, lag(symbol_version_id) OVER {IN_TIME} AS a FROM vt), nm AS (SELECT symbol_version_id AS id, symbol_id AS sym FROM v), "
     "cl AS (SELECT src AS id, list(DISTINCT sym) AS s FROM e JOIN nm ON nm.id = e.dst GROUP BY 1), cr AS (SELECT dst AS id, list(DISTINCT sym) AS s FROM e JOIN nm ON nm.id = e.src GROUP BY 1), "
     "x AS (SELECT st.a, st.b, coalesce(ca.s, []) AS ca, coalesce(cb.s, []) AS cb, coalesce(ra.s, []) AS ra, coalesce(rb.s, []) AS rb FROM st LEFT JOIN cl ca ON ca.id = st.a LEFT JOIN cl cb ON cb.id = st.b LEFT JOIN cr ra ON ra.id = st.a LEFT JOIN cr rb ON rb.id = st.b WHERE st.a IS NOT NULL) "
     f"SELECT a, b, round(0.6 * {textual._JACC.format('ca', 'cb')} + 0.4 * {textual._JACC.format('ra', 'rb')}, 6) AS neighborhood FROM x WHERE len(ca) + len(cb) + len(ra) + len(rb) > 0"
 )
 def lin5_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far neighbouring versions of a symbol share callees (0.6) and callers (0.4)."""
-    v = corpus.versions(spark, sf_dir, "symbol_id")
+    v = corpus.timed_versions(spark, sf_dir, "symbol_id")
     e = corpus.call_edges(spark, sf_dir)
     near = lambda one, other: e.join(v.select(F.col("symbol_version_id").alias(other), F.col("symbol_id").alias("sym")), other).groupBy(F.col(one).alias("id")).agg(F.collect_set("sym").alias("s"))
     callees, callers = near("src", "dst"), near("dst", "src")
-    steps = v.select(F.lag("symbol_version_id").over(Window.partitionBy("symbol_id").orderBy("symbol_version_id")).alias("a"), F.col("symbol_version_id").alias("b")).where("a is not null")
+    steps = v.select(F.lag("symbol_version_id").over(corpus.in_time()).alias("a"), F.col("symbol_version_id").alias("b")).where("a is not null")
     for name, df in (("c", callees), ("r", callers)):
         for side in "ab":
             steps = steps.join(df.select(F.col("id").alias(side), F.col("s").alias(name + side)), side, "left").withColumn(name + side, F.coalesce(name + side, F.array().cast("array<string>")))
@@ -125,8 +125,8 @@ def sim15_second_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @r.query()
 def sim8_sim9_sim10_multi_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring versions of a symbol by body and signature views, each with its own corpus statistics."""
-    v = corpus.versions(spark, sf_dir, "symbol_id", "signature", "body_source")
-    pairs = v.select(F.lag("symbol_version_id").over(Window.partitionBy("symbol_id").orderBy("symbol_version_id")).alias("a"), F.col("symbol_version_id").alias("b")).where("a is not null")
+    v = corpus.timed_versions(spark, sf_dir, "symbol_id", "signature", "body_source")
+    pairs = v.select(F.lag("symbol_version_id").over(corpus.in_time()).alias("a"), F.col("symbol_version_id").alias("b")).where("a is not null")
     views = []
     for name, words in (("body", T.body_tokens(F.col("body_source"))), ("signature", T.signature_tokens(F.col("signature")))):
         tokens = v.select(F.col("symbol_version_id").alias("doc"), F.explode(words).alias("token"))

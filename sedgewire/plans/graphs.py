@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sedgewire.operators import corpus
 from sedgewire.operators import graph as G
 from sedgewire.operators.components import connected_components
+from sedgewire.operators.hierarchy import ancestors
 from sedgewire.plans.behaving import _LEVEL, _HINTS, _TOUCH, body_profiles
 from sedgewire.plans.registry import BODIES, EDGES, SNAPSHOTS, VERSIONS, Registry
 from sedgewire.runtime import table
@@ -103,15 +104,13 @@ def jn3_named_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @r.query(
-    f"WITH RECURSIVE {SNAPSHOTS}, ch AS (SELECT snapshot_id AS s0, snapshot_id AS s1, 0 AS depth FROM sn UNION ALL SELECT ch.s0, sn.parent_snapshot_id, depth + 1 FROM ch JOIN sn ON sn.snapshot_id = ch.s1 JOIN sn p ON p.snapshot_id = sn.parent_snapshot_id WHERE depth < 10) SELECT s0 AS snapshot_id, s1 AS ancestor_snapshot_id, min(depth)::BIGINT AS depth FROM ch WHERE depth > 0 GROUP BY 1, 2"
+    f"WITH RECURSIVE {SNAPSHOTS}, ch AS (SELECT snapshot_id AS s0, snapshot_id AS s1, 0 AS depth FROM sn UNION ALL SELECT ch.s0, sn.parent_snapshot_id, depth + 1 FROM ch JOIN sn ON sn.snapshot_id = ch.s1 JOIN sn p ON p.snapshot_id = sn.parent_snapshot_id WHERE depth < 100) SELECT s0 AS snapshot_id, s1 AS ancestor_snapshot_id, min(depth)::BIGINT AS depth FROM ch WHERE depth > 0 GROUP BY 1, 2"
 )
 def gr7_ancestor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ancestors of each snapshot up to ten steps away, by a bounded recursive query."""
-    corpus.snapshots(spark, sf_dir).select("snapshot_id", "parent_snapshot_id").createOrReplaceTempView("sedgewire_chain")
-    return spark.sql(
-        "WITH RECURSIVE ch(s0, s1, depth) AS (SELECT snapshot_id, snapshot_id, 0 FROM sedgewire_chain UNION ALL SELECT ch.s0, c.parent_snapshot_id, depth + 1 FROM ch JOIN sedgewire_chain c ON c.snapshot_id = ch.s1 "
-        "LEFT SEMI JOIN sedgewire_chain p ON p.snapshot_id = c.parent_snapshot_id WHERE depth < 10) SELECT s0 AS snapshot_id, s1 AS ancestor_snapshot_id, CAST(min(depth) AS BIGINT) AS depth FROM ch WHERE depth > 0 GROUP BY 1, 2"
-    )
+    """Ancestors of each snapshot up to a hundred steps away."""
+    rows = corpus.snapshots(spark, sf_dir).select(F.col("snapshot_id").alias("node"), F.col("parent_snapshot_id").alias("parent"))
+    links = rows.join(rows.select(F.col("node").alias("parent")), "parent", "left_semi")
+    return ancestors(links).select(F.col("node").alias("snapshot_id"), F.col("ancestor").alias("ancestor_snapshot_id"), "depth")
 
 
 @r.query(

@@ -11,19 +11,19 @@ from sedgewire.operators import corpus
 from sedgewire.operators import homolog as O
 from sedgewire.operators.components import connected_components
 from sedgewire.plans.behaving import _CONTRACT, _HINTS, _LEVEL, _TOUCH, body_profiles, contracts
-from sedgewire.plans.registry import FILES, SNAPSHOTS, VERSIONS, Registry
+from sedgewire.plans.registry import FILES, IN_TIME, SNAPSHOTS, TIMED, VERSIONS, Registry
 from sedgewire.plans.textual import _JACC, _LOOSE
 from sedgewire.runtime import table
 
 r = Registry()
 
-#: The newest version of each symbol stands for it.
-_LATEST = f"{VERSIONS}, lv AS (SELECT * FROM (SELECT v.*, row_number() OVER (PARTITION BY symbol_id ORDER BY symbol_version_id DESC) rn FROM v) WHERE rn = 1)"
+#: The newest version of each symbol, by its snapshot's time, stands for it.
+_LATEST = f"{VERSIONS}, {TIMED}, lv AS (SELECT * FROM (SELECT vt.*, row_number() OVER (PARTITION BY symbol_id ORDER BY t DESC, snapshot_id DESC, symbol_version_id DESC) rn FROM vt) WHERE rn = 1)"
 
 
 def latest_versions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    rows = corpus.versions(spark, sf_dir, "symbol_id", *columns)
-    return rows.groupBy("symbol_id").agg(F.max(F.struct("symbol_version_id", *columns)).alias("m")).select("symbol_id", "m.*")
+    rows = corpus.timed_versions(spark, sf_dir, "symbol_id", *columns)
+    return rows.groupBy("symbol_id").agg(F.max(F.struct("t", "snapshot_id", "symbol_version_id", *columns)).alias("m")).select("symbol_id", "m.symbol_version_id", *[f"m.{c}" for c in columns])
 
 
 _BUCKET = "SELECT symbol_id AS a, unnest(list(symbol_id) OVER (PARTITION BY {0} ORDER BY symbol_id ROWS BETWEEN 1 FOLLOWING AND {1} FOLLOWING)) AS b FROM lv WHERE {0} IS NOT NULL"
@@ -191,14 +191,14 @@ def lin2_lin3_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("old_id", "new_id", "s", rank("old_id", "new_id").alias("r1"), rank("new_id", "old_id").alias("r2")).where("r1 = 1 and r2 = 1").select("old_id", "new_id", F.round("s", 6).alias("similarity"))
 
 
-_DIFF = f"WITH {VERSIONS}, w AS (SELECT *, lag(symbol_version_id) OVER o AS p, lag(signature) OVER o AS s0, lag(body_hash) OVER o AS b0, lag(visibility) OVER o AS v0, lag(range_end_line - range_start_line) OVER o AS l0 FROM v WINDOW o AS (PARTITION BY symbol_id ORDER BY symbol_version_id)), x AS (SELECT p, symbol_version_id, CASE WHEN visibility IS DISTINCT FROM v0 THEN CASE WHEN visibility = 'private' THEN 3 ELSE 1 END ELSE 0 END AS vis, CASE WHEN signature IS DISTINCT FROM s0 THEN 3 ELSE 0 END AS sig, CASE WHEN body_hash IS DISTINCT FROM b0 THEN 2 ELSE 0 END AS body, CASE WHEN (range_end_line - range_start_line) <> l0 THEN 1 ELSE 0 END AS span FROM w WHERE p IS NOT NULL)"
+_DIFF = f"WITH {VERSIONS}, {TIMED}, w AS (SELECT *, lag(symbol_version_id) OVER o AS p, lag(signature) OVER o AS s0, lag(body_hash) OVER o AS b0, lag(visibility) OVER o AS v0, lag(range_end_line - range_start_line) OVER o AS l0 FROM vt WINDOW o AS {IN_TIME}), x AS (SELECT p, symbol_version_id, CASE WHEN visibility IS DISTINCT FROM v0 THEN CASE WHEN visibility = 'private' THEN 3 ELSE 1 END ELSE 0 END AS vis, CASE WHEN signature IS DISTINCT FROM s0 THEN 3 ELSE 0 END AS sig, CASE WHEN body_hash IS DISTINCT FROM b0 THEN 2 ELSE 0 END AS body, CASE WHEN (range_end_line - range_start_line) <> l0 THEN 1 ELSE 0 END AS span FROM w WHERE p IS NOT NULL)"
 
 
 @r.query(_DIFF + " SELECT p AS before_id, symbol_version_id AS after_id, ['none', 'minor', 'major', 'breaking'][greatest(vis, sig, body, span) + 1] AS overall, ['none', 'minor', 'major', 'breaking'][vis + 1] AS visibility, ['none', 'minor', 'major', 'breaking'][sig + 1] AS signature, ['none', 'minor', 'major', 'breaking'][body + 1] AS body, ['none', 'minor', 'major', 'breaking'][span + 1] AS span FROM x")
 def dif1_semantic_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each version of a symbol departs from the one before it, by dimension and overall."""
-    w = Window.partitionBy("symbol_id").orderBy("symbol_version_id")
-    rows = corpus.versions(spark, sf_dir, "symbol_id", "signature", "body_hash", "visibility", "range_start_line", "range_end_line").withColumn("lines", F.col("range_end_line") - F.col("range_start_line"))
+    w = corpus.in_time()
+    rows = corpus.timed_versions(spark, sf_dir, "symbol_id", "signature", "body_hash", "visibility", "range_start_line", "range_end_line").withColumn("lines", F.col("range_end_line") - F.col("range_start_line"))
     differs = lambda c: ~F.col(c).eqNullSafe(F.lag(c).over(w))
     ranks = rows.select(
         F.lag("symbol_version_id").over(w).alias("before_id"),

@@ -14,6 +14,13 @@ SNAPSHOTS = (
     "sn AS (SELECT snapshot_id, repo_id, branch, parent_snapshot_id, created_at, indexed_at, lower(trim(index_status)) AS index_status, retained_until FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY indexed_at DESC NULLS LAST, repo_id DESC, branch DESC NULLS LAST, parent_snapshot_id DESC NULLS LAST, created_at DESC, "
     "lower(trim(index_status)) DESC NULLS LAST, retained_until DESC NULLS LAST) rn FROM snapshots WHERE snapshot_id IS NOT NULL) WHERE rn = 1)"
 )
+#: Versions with the time of their snapshot; steps between the distinct bodies of a symbol in the order of their first appearance.
+TIMED = SNAPSHOTS + ", vt AS (SELECT v.*, coalesce(sn.created_at, TIMESTAMP '1970-01-01') AS t FROM v LEFT JOIN sn ON sn.snapshot_id = v.snapshot_id)"
+IN_TIME = "(PARTITION BY symbol_id ORDER BY t, snapshot_id, symbol_version_id)"
+BODY_STEPS = (
+    SNAPSHOTS + ", fb AS (SELECT q.symbol_id, q.body_hash, min(struct_pack(t := coalesce(sn.created_at, TIMESTAMP '1970-01-01'), s := coalesce(q.snapshot_id, ''))) AS f FROM symbol_versions q LEFT JOIN sn ON sn.snapshot_id = q.snapshot_id WHERE q.body_hash IN (SELECT body_hash FROM {0}) GROUP BY 1, 2), "
+    "st AS (SELECT symbol_id, body_hash AS b, lag(body_hash) OVER (PARTITION BY symbol_id ORDER BY f, body_hash) AS a FROM fb)"
+)
 COMMITS = "c AS (SELECT DISTINCT repo_id, hash, any_value(author_email) OVER w AS author, max(commit_date) OVER w AS commit_date, max(subject) OVER w AS subject FROM git_commits WHERE repo_id IS NOT NULL AND hash IS NOT NULL WINDOW w AS (PARTITION BY repo_id, hash))"
 BODIES = "b AS (SELECT body_hash, max(body_source) AS body_source FROM symbol_versions WHERE body_hash IS NOT NULL AND body_source IS NOT NULL GROUP BY 1)"
 EDGES = (

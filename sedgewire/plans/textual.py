@@ -9,7 +9,7 @@ from sedgewire.functions import hashing as H
 from sedgewire.functions import text as T
 from sedgewire.operators import corpus
 from sedgewire.operators import vectors as V
-from sedgewire.plans.registry import BODIES, VERSIONS, Registry
+from sedgewire.plans.registry import BODIES, BODY_STEPS, VERSIONS, Registry
 from sedgewire.runtime import table
 
 r = Registry()
@@ -213,13 +213,12 @@ def sim3_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _body_vectors(spark, sf_dir)[0].select("doc", "token", F.round("w", 6).alias("w"))
 
 
-_PAIRS = "pr AS (SELECT a, b FROM (SELECT symbol_id, body_hash AS a, lead(body_hash) OVER (PARTITION BY symbol_id ORDER BY body_hash) AS b FROM (SELECT DISTINCT symbol_id, body_hash FROM symbol_versions WHERE body_hash IN (SELECT body_hash FROM b))) WHERE b IS NOT NULL GROUP BY 1, 2)"
+_PAIRS = BODY_STEPS.format("b").replace("st AS (", "bs AS (") + ", pr AS (SELECT DISTINCT a, b FROM bs WHERE a IS NOT NULL)"
 
 
 def _revision_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring distinct bodies of one symbol."""
-    rows = table(spark, sf_dir, "symbol_versions").where("body_hash is not null and body_source is not null").select("symbol_id", F.col("body_hash").alias("a")).distinct()
-    return rows.withColumn("b", F.lead("a").over(Window.partitionBy("symbol_id").orderBy("a"))).where("b is not null").select("a", "b").distinct()
+    """Distinct bodies of one symbol that follow one another in time."""
+    return corpus.body_steps(spark, sf_dir).select("a", "b").distinct()
 
 
 @r.query(_BODY_TOKENS + _TF + ", " + _IDF + ", " + _VEC + ", " + _PAIRS + " SELECT pr.a, pr.b, round(least(1, greatest(0, coalesce(sum(x.x * y.x), 0))), 6) AS cosine FROM pr LEFT JOIN vec x ON x.k = pr.a LEFT JOIN vec y ON y.k = pr.b AND y.w = x.w GROUP BY 1, 2")
