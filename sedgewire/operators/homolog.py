@@ -9,27 +9,66 @@ from pyspark.sql import functions as F
 
 from sedgewire.functions import hashing as H
 from sedgewire.functions import text as T
+from sedgewire.operators import vectors as V
 
 # Weights of the evidence, its least total and number of families.
 WEIGHTS = {"logic": 0.20, "name": 0.20, "signature": 0.15, "behavior": 0.15, "contract": 0.15, "tests": 0.10, "history": 0.05}
 LEAST_TOTAL, LEAST_FAMILIES, LIVE_FAMILY = 0.60, 2, 0.1
-#: Candidates that a target takes from each bucket (a parameter of the feature).
-BUCKETS = {"body_hash": 50, "ast_hash": 50, "normalized_ast_hash": 50, "signature": 30}
+#: Columns whose equal values make a class; the best by name and by signature that a target takes, and the next ones of its kind (parameters of the feature).
+CLASSES = ("body_hash", "ast_hash", "normalized_ast_hash", "name", "s")
+NAMES, SIGNATURES, PROFILES, KINDS = 30, 30, 30, 20
+LEAST_NAME, LEAST_SIGNATURE = 0.3, 0.05
 
 
-def candidates(symbols: DataFrame, buckets: dict[str, int] = BUCKETS) -> DataFrame:
-    """(a, b), a < b: pairs of symbols that share a bucket's value; in each bucket a target takes its next ones by id, up to the bucket's number.
+def class_links(symbols: DataFrame, column: str) -> DataFrame:
+    """(a, b): the first symbol of each class of a repository with each other one; (class, member) says the same as all pairs."""
+    w = Window.partitionBy("repo_id", column)
+    first = symbols.where(F.col(column).isNotNull()).select(F.min("id").over(w).alias("a"), F.col("id").alias("b"))
+    return first.where("a <> b")
 
-    ``symbols`` has one row per symbol: id and the bucket columns. Instead of
-    joining a bucket with itself, each row takes its followers from a window
-    frame, so a bucket of any size gives at most a fixed number per row.
+
+def following(symbols: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """(a, b): each symbol with the next ones by id among those of equal columns; a class of any size gives at most ``most`` per symbol."""
+    w = Window.partitionBy("repo_id", *columns).orderBy("id").rowsBetween(1, most)
+    return symbols.where(F.col(columns[-1]).isNotNull()).select(F.col("id").alias("a"), F.collect_list("id").over(w).alias("bs")).select("a", F.explode("bs").alias("b"))
+
+
+def best_pairs(scored: DataFrame, most: int) -> DataFrame:
+    """(a, b), a < b, of (query, id, similarity): the ``most`` best of each query."""
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"))
+
+
+def by_name(symbols: DataFrame) -> DataFrame:
+    """(query, id, similarity): names of a repository that share trigrams, by their first symbols."""
+    names = symbols.where("name is not null").groupBy("repo_id", "name").agg(F.min("id").alias("id")).withColumn("t", T.trigrams(F.col("name")))
+    grams = names.select("repo_id", "id", F.size("t").alias("n"), F.explode("t").alias("g"))
+    left = grams.withColumnsRenamed({"id": "query", "n": "m"})
+    shared = left.join(grams, ["repo_id", "g"]).where("query <> id").groupBy("query", "id", "m", "n").agg(F.count("*").alias("c"))
+    return shared.select("query", "id", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= LEAST_NAME)
+
+
+def by_signature(symbols: DataFrame) -> DataFrame:
+    """(query, id, similarity): signatures of a repository that share a band, by their first symbols."""
+    first = symbols.where(F.col("s").isNotNull()).groupBy("repo_id", "s").agg(F.min("id").alias("id"))
+    near = V.band_neighbours(first, first, "id", "s", LEAST_SIGNATURE)
+    repo = first.select("repo_id", "id")
+    return near.join(repo, "id").join(repo.withColumnsRenamed({"id": "query"}), ["query", "repo_id"]).select("query", "id", "similarity")
+
+
+def candidates(symbols: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of symbols of a repository worth comparing, from seven buckets.
+
+    ``symbols``: id, repo_id, kind, purity, name, body_hash, ast_hash,
+    normalized_ast_hash, s (signature); one row per symbol, null ids and
+    repositories left out. Symbols of one body, syntax, normalized syntax, name
+    or signature are linked to the first of their class; names and signatures
+    that are similar are linked by these first ones, the best of each; the last
+    two buckets are the next symbols of the same purity and kind, and kind.
     """
-    parts = []
-    for column, most in buckets.items():
-        w = Window.partitionBy(column).orderBy("id").rowsBetween(1, most)
-        near = symbols.where(F.col(column).isNotNull()).select(F.col("id").alias("a"), F.collect_list("id").over(w).alias("bs"))
-        parts.append(near.select("a", F.explode("bs").alias("b")))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    known = symbols.where("id is not null and repo_id is not null")
+    parts = [class_links(known, c) for c in CLASSES] + [best_pairs(by_name(known), NAMES), best_pairs(by_signature(known), SIGNATURES), following(known, ["purity", "kind"], PROFILES), following(known, ["kind"], KINDS)]
+    return reduce(DataFrame.unionByName, [p.select("a", "b") for p in parts]).distinct()
 
 
 def logic_similarity(same_body: Column, same_normal: Column, same_ast: Column, sig_a: Column, sig_b: Column) -> Column:
@@ -68,9 +107,16 @@ def contradictions(purity: tuple[Column, Column], exceptions: tuple[Column, Colu
     return F.array_sort(F.filter(flags, lambda f: f.isNotNull()))
 
 
-def relation_type(scores: dict[str, Column], auth_both: Column, throws_both: Column) -> Column:
+# Relations of two symbols of one kind.
+KIND_RELATIONS = {"validator": "validator_homolog", "serializer": "serializer_homolog", "query_builder": "query_logic_duplicate"}
+
+
+def relation_type(scores: dict[str, Column], auth_both: Column, throws_both: Column, kinds: tuple[Column, Column]) -> Column:
+    rules = F.when(scores["logic"] >= 0.85, "near_duplicate_logic")
+    for kind, relation in KIND_RELATIONS.items():
+        rules = rules.when((kinds[0] == kind) & (kinds[1] == kind), relation)
     return (
-        F.when(scores["logic"] >= 0.85, "near_duplicate_logic")
+        rules
         .when((scores["behavior"] >= 0.60) & auth_both, "auth_policy_peer")
         .when((scores["contract"] >= 0.50) & throws_both, "error_mapping_peer")
         .when((scores["behavior"] >= 0.70) & (scores["contract"] >= 0.50), "business_rule_parallel")
@@ -78,3 +124,19 @@ def relation_type(scores: dict[str, Column], auth_both: Column, throws_both: Col
         .when(scores["signature"] >= 0.80, "normalization_homolog")
         .otherwise("near_duplicate_logic")
     )
+
+
+def rationale(scores: dict[str, Column]) -> Column:
+    """What speaks for a pair, in words."""
+    percent = F.concat(F.lit("logic similarity: "), F.round(scores["logic"] * 100).cast("int").cast("string"), F.lit("%"))
+    said = F.concat_ws(
+        "; ",
+        F.when(scores["logic"] >= 0.85, "near-identical logic").when(scores["logic"] > 0, percent),
+        F.when(scores["name"] >= 0.70, "strong name similarity"),
+        F.when(scores["signature"] >= 0.70, "matching signatures"),
+        F.when(scores["behavior"] >= 0.70, "overlapping behavior"),
+        F.when(scores["contract"] >= 0.70, "matching contracts"),
+        F.when(scores["tests"] > 0, "shared test coverage"),
+        F.when(scores["history"] > 0, "historical co-change"),
+    )
+    return F.when(said == "", "weak evidence").otherwise(said)

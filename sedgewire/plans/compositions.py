@@ -12,7 +12,7 @@ from sedgewire.plans import textual
 from sedgewire.plans.behaving import _HINTS, _INVARIANTS, body_profiles, invariants, language_bodies
 from sedgewire.operators import behavior as B
 from sedgewire.plans.graphs import _E
-from sedgewire.plans.history import _COMMITS, _PAIRS, _pairs
+from sedgewire.plans.history import _COMMITS, _PAIRS, changed_pairs
 from sedgewire.plans.registry import FILES, IN_TIME, SNAPSHOTS, TIMED, VERSIONS, Registry
 from sedgewire.runtime import table
 
@@ -53,7 +53,7 @@ def blr3_contract_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @r.query(f"WITH {_COMMITS}, {_PAIRS}, u AS (SELECT g, a AS target, b AS file, j FROM pj WHERE j >= 0.5 UNION ALL SELECT g, b, a, j FROM pj WHERE j >= 0.5) SELECT g AS repo_id, target, file, CASE WHEN j >= 0.8 THEN 'medium' ELSE 'low' END AS severity FROM u")
 def blr5_hom6_historical_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir).where("jaccard >= 0.5")
+    p = changed_pairs(spark, sf_dir).where("jaccard >= 0.5")
     both = p.select("g", F.col("a").alias("target"), F.col("b").alias("file"), "jaccard").unionByName(p.select("g", F.col("b").alias("target"), F.col("a").alias("file"), "jaccard"))
     return both.select(F.col("g").alias("repo_id"), "target", "file", F.when(F.col("jaccard") >= 0.8, "medium").otherwise("low").alias("severity"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedgewire.functions.text import is_test_path
 from sedgewire.operators import corpus
 from sedgewire.operators import graph as G
 from sedgewire.operators.components import connected_components
@@ -118,11 +119,14 @@ def gr7_ancestor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def gr6_gr16_tests_of_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test code that calls a symbol, from the test's side turned round."""
-    from sedgewire.functions.text import is_test_path
+    return test_callers(spark, sf_dir).groupBy(F.col("dst").alias("symbol")).agg(F.count("*").alias("n_tests"), F.array_join(F.array_sort(F.collect_list("src")), ",").alias("tests"))
 
+
+def test_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls (src, dst) that come from test files."""
     paths = table(spark, sf_dir, "files").groupBy("file_id").agg(F.max("path").alias("path")).where(is_test_path(F.col("path")))
     tests = corpus.versions(spark, sf_dir, "file_id").join(paths, "file_id", "left_semi").select(F.col("symbol_version_id").alias("src"))
-    return corpus.call_edges(spark, sf_dir).join(tests, "src", "left_semi").groupBy(F.col("dst").alias("symbol")).agg(F.count("*").alias("n_tests"), F.array_join(F.array_sort(F.collect_list("src")), ",").alias("tests"))
+    return corpus.call_edges(spark, sf_dir).join(tests, "src", "left_semi")
 
 
 QUERIES, SQL = r.queries, r.sql

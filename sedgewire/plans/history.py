@@ -19,7 +19,7 @@ _COMMITS = (
     "ch AS (SELECT t.g, t.file, t.c, c.date, c.author, coalesce(regexp_matches(c.subject, '(?i)\\bfix(?:e[sd])?\\b|\\bbug\\b|\\bpatch\\b|\\bhotfix\\b|\\bresolve[sd]?\\b|\\bclose[sd]?\\s+#\\d+|\\bregression\\b'), FALSE) AS is_fix, coalesce(regexp_matches(c.subject, '(?i)^revert\\b'), FALSE) AS is_revert, c.merge FROM t JOIN c USING (g, c))"
 )
 _PAIRS = (
-    "it AS (SELECT g, c, file, row_number() OVER (PARTITION BY g, c ORDER BY file) AS rn FROM ch WHERE NOT merge), fw AS (SELECT * FROM it WHERE rn <= 50), "
+    "it AS (SELECT g, c, file, row_number() OVER (PARTITION BY g, c ORDER BY file) AS rn FROM ch WHERE NOT merge), fw AS (SELECT * FROM it), "
     "pr AS (SELECT x.g, x.file AS a, y.file AS b, count(*) AS n, min(c.date) AS d0, max(c.date) AS d1 FROM fw x JOIN fw y ON x.g = y.g AND x.c = y.c AND x.file < y.file JOIN c ON c.g = x.g AND c.c = x.c GROUP BY 1, 2, 3 HAVING count(*) >= 2), "
     "tt AS (SELECT g, file, count(*) AS t FROM it GROUP BY 1, 2), pj AS (SELECT pr.*, ta.t AS n_a, tb.t AS n_b, n / (ta.t + tb.t - n)::DOUBLE AS j FROM pr JOIN tt ta ON ta.g = pr.g AND ta.file = a JOIN tt tb ON tb.g = pr.g AND tb.file = b)"
 )
@@ -34,7 +34,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.touched(table(spark, sf_dir, "git_commits")).join(H.classify(_commits(spark, sf_dir)), ["g", "c"])
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def changed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = _changes(spark, sf_dir).where("not merge")
     return H.co_changes(kept.select("g", "c", "file"), kept.select("g", "c", "date").distinct())
 
@@ -55,12 +55,12 @@ def tmp1_src6_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @r.query(f"WITH {_COMMITS}, {_PAIRS} SELECT g AS repo_id, a, b, n, n_a, n_b, round(j, 6) AS jaccard, {_DATE.format('d0')} AS first_date, {_DATE.format('d1')} AS last_date FROM pj")
 def tmp2_co_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select(F.col("g").alias("repo_id"), "a", "b", "n", "n_a", "n_b", F.round("jaccard", 6).alias("jaccard"), _day("first_date"), _day("last_date"))
+    return changed_pairs(spark, sf_dir).select(F.col("g").alias("repo_id"), "a", "b", "n", "n_a", "n_b", F.round("jaccard", 6).alias("jaccard"), _day("first_date"), _day("last_date"))
 
 
 @r.query(f"WITH {_COMMITS}, {_PAIRS}, k AS (SELECT g, a, b, round(j, 3) AS confidence FROM pj WHERE j >= 0.25) SELECT g AS repo_id, a AS src, b AS dst, confidence FROM k UNION ALL SELECT g, b, a, confidence FROM k")
 def tmp3_co_change_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.co_change_edges(_pairs(spark, sf_dir)).withColumnRenamed("g", "repo_id")
+    return H.co_change_edges(changed_pairs(spark, sf_dir)).withColumnRenamed("g", "repo_id")
 
 
 @r.query(
@@ -76,7 +76,7 @@ def tmp4_wn2_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @r.query(f"WITH {_COMMITS}, {_PAIRS}, u AS (SELECT g, a AS file, b AS partner, j FROM pj WHERE j >= 0.1 UNION ALL SELECT g, b, a, j FROM pj WHERE j >= 0.1), k AS (SELECT *, row_number() OVER (PARTITION BY g, file ORDER BY round(j, 9) DESC, partner) AS rank FROM u) SELECT g AS repo_id, file, partner, round(j, 6) AS jaccard, rank FROM k WHERE rank <= 5")
 def tmp5_prj3_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best partners of each file, at least 0.1: both ends of a pair as rows instead of an OR join."""
-    pairs = _pairs(spark, sf_dir).where("jaccard >= 0.1").select("g", "a", "b", "jaccard")
+    pairs = changed_pairs(spark, sf_dir).where("jaccard >= 0.1").select("g", "a", "b", "jaccard")
     both = pairs.select("g", F.col("a").alias("file"), F.col("b").alias("partner"), "jaccard").unionByName(pairs.select("g", F.col("b").alias("file"), F.col("a").alias("partner"), "jaccard"))
     w = Window.partitionBy("g", "file").orderBy(F.desc(F.round("jaccard", 9)), "partner")
     return both.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select(F.col("g").alias("repo_id"), "file", "partner", F.round("jaccard", 6).alias("jaccard"), "rank")

@@ -11,9 +11,12 @@ from sedgewire.operators import corpus
 from sedgewire.operators import homolog as O
 from sedgewire.operators.components import connected_components
 from sedgewire.plans.behaving import _CONTRACT, _HINTS, _LEVEL, _TOUCH, body_profiles, contracts
-from sedgewire.plans.registry import FILES, IN_TIME, SNAPSHOTS, TIMED, VERSIONS, Registry
-from sedgewire.plans.textual import _JACC, _LOOSE
-from sedgewire.runtime import table
+from sedgewire.plans.registry import BODIES, EDGES, FILES, IN_TIME, SNAPSHOTS, TIMED, VERSIONS, Registry
+from sedgewire.plans.graphs import test_callers
+from sedgewire.plans.history import _COMMITS, _PAIRS, changed_pairs
+from sedgewire.plans.textual import _JACC, _LOOSE, _TRI
+from sedgewire.operators.temporal import co_change_edges
+from sedgewire.runtime import store, table
 
 r = Registry()
 
@@ -26,77 +29,98 @@ def latest_versions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFram
     return rows.groupBy("symbol_id").agg(F.max(F.struct("t", "snapshot_id", "symbol_version_id", *columns)).alias("m")).select("symbol_id", "m.symbol_version_id", *[f"m.{c}" for c in columns])
 
 
-_BUCKET = "SELECT symbol_id AS a, unnest(list(symbol_id) OVER (PARTITION BY {0} ORDER BY symbol_id ROWS BETWEEN 1 FOLLOWING AND {1} FOLLOWING)) AS b FROM lv WHERE {0} IS NOT NULL"
-_CANDIDATES = "cd AS (" + " UNION ".join(_BUCKET.format(c, n) for c, n in O.BUCKETS.items()) + ")"
+_SIGNATURES = "sg AS (SELECT v.body_hash, max(sv.minhash_signature) AS s FROM semantic_vectors sv JOIN v USING (symbol_version_id) WHERE lower(sv.view_type) = 'body' AND sv.minhash_signature IS NOT NULL AND NOT list_bool_and(list_transform(sv.minhash_signature, lambda x: x = 4294967295)) GROUP BY 1)"
+_PURITY = f"pk AS (SELECT body_hash, list(DISTINCT hint_type) AS k, list(DISTINCT {_TOUCH}) FILTER ({_TOUCH} IS NOT NULL) AS touches, list_sort(list(DISTINCT hint_type || ':' || detail) FILTER (hint_type IN ('throws', 'catches'))) AS exc, list_sort(list(DISTINCT detail) FILTER (hint_type = 'auth_check')) AS auth, list_sort(list(DISTINCT hint_type || detail) FILTER (hint_type IN ('db_read', 'db_write', 'network_call'))) AS io FROM h GROUP BY 1)"
+_SYMBOLS = f"sb AS (SELECT lv.symbol_id AS id, s.repo_id, s.kind, s.canonical_name AS name, lv.body_hash, lv.ast_hash, lv.normalized_ast_hash, sg.s, ['pure', 'read_only', 'read_write', 'side_effecting'][coalesce({_LEVEL}, 0) + 1] AS purity FROM lv JOIN symbols s USING (symbol_id) LEFT JOIN pk ON pk.body_hash = lv.body_hash AND lv.body_source IS NOT NULL LEFT JOIN sg ON sg.body_hash = lv.body_hash)"
+_STAR = "SELECT * FROM (SELECT min(id) OVER (PARTITION BY repo_id, {0}) AS a, id AS b FROM sb WHERE {0} IS NOT NULL) WHERE a <> b"
+_NEXT = "SELECT id AS a, unnest(list(id) OVER (PARTITION BY repo_id, {0} ORDER BY id ROWS BETWEEN 1 FOLLOWING AND {1} FOLLOWING)) AS b FROM sb WHERE kind IS NOT NULL"
+_BEST = "SELECT least(q, id) AS a, greatest(q, id) AS b FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(x, 9) DESC, id) AS rn FROM {0}) WHERE rn <= 30"
+_CANDIDATES = (
+    f"fn AS (SELECT repo_id, name, min(id) AS id, {_TRI.format('name')} AS t FROM sb WHERE name IS NOT NULL GROUP BY 1, 2), fg AS (SELECT repo_id, id, len(t) AS n, unnest(t) AS g FROM fn), "
+    "nn AS (SELECT * FROM (SELECT l.id AS q, r.id, count(*) / (l.n + r.n - count(*))::DOUBLE AS x FROM fg l JOIN fg r ON l.repo_id = r.repo_id AND l.g = r.g AND l.id <> r.id GROUP BY l.id, r.id, l.n, r.n) WHERE x >= 0.3), "
+    "fs AS (SELECT repo_id, s, min(id) AS id FROM sb WHERE s IS NOT NULL GROUP BY 1, 2), fb AS (SELECT repo_id, id, s, i AS band, list_slice(s, i * 8 + 1, i * 8 + 8) AS piece FROM fs, range(16) x(i)), "
+    "nb AS (SELECT DISTINCT l.id AS q, r.id, l.s AS ls, r.s AS rs FROM fb l JOIN fb r ON l.repo_id = r.repo_id AND l.band = r.band AND l.piece = r.piece AND l.id <> r.id), "
+    "ns AS (SELECT q, id, list_sum(list_transform(range(1, 129), lambda i: CASE WHEN ls[i] = rs[i] THEN 1 ELSE 0 END)) / 128.0 AS x FROM nb), "
+    "cd AS (" + " UNION ".join([_STAR.format(c) for c in O.CLASSES] + [_BEST.format("nn"), _BEST.format("ns"), _NEXT.format("purity, kind", O.PROFILES), _NEXT.format("kind", O.KINDS)]) + ")"
+)
+_BASE = f"WITH {_LATEST}, {_HINTS}, {_SIGNATURES}, {_PURITY}, {_SYMBOLS}, {_CANDIDATES}"
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.candidates(latest_versions(spark, sf_dir, *O.BUCKETS).withColumnRenamed("symbol_id", "id"))
+def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest version of each symbol with its symbol, profile and signature."""
+    latest = latest_versions(spark, sf_dir, "body_hash", "ast_hash", "normalized_ast_hash", "signature", "body_source", "file_id")
+    profiles = body_profiles(spark, sf_dir).select(F.col("body_hash").alias("profiled"), "purity_class", "resource_touches", "exception_profile", "auth_operations", F.array_sort(F.concat("db_reads", "db_writes", "network_calls")).alias("io"))
+    stored = table(spark, sf_dir, "semantic_vectors").where("lower(view_type) = 'body' and minhash_signature is not null").where(~H.is_empty_signature(F.col("minhash_signature"))).select("symbol_version_id", "minhash_signature")
+    sigs = corpus.versions(spark, sf_dir, "body_hash").join(stored, "symbol_version_id").groupBy("body_hash").agg(F.max("minhash_signature").alias("s"))
+    empty = F.array().cast("array<string>")
+    with_body = latest.withColumn("profiled", F.when(F.col("body_source").isNotNull(), F.col("body_hash"))).drop("body_source")
+    joined = with_body.join(table(spark, sf_dir, "symbols").select("symbol_id", "repo_id", "kind", F.col("canonical_name").alias("name")), "symbol_id").join(profiles, "profiled", "left").join(sigs, "body_hash", "left")
+    return joined.select(
+        F.col("symbol_id").alias("id"), "symbol_version_id", "file_id", "repo_id", "kind", "name", "body_hash", "ast_hash", "normalized_ast_hash", "signature", "s",
+        F.coalesce("purity_class", F.lit("pure")).alias("purity"), *[F.coalesce(c, empty).alias(n) for c, n in (("resource_touches", "touches"), ("exception_profile", "exc"), ("auth_operations", "auth"), ("io", "io"))],
+    )
 
 
-@r.query(f"WITH {_LATEST}, {_CANDIDATES} SELECT DISTINCT a, b FROM cd")
+@r.query(f"{_BASE} SELECT a, b FROM cd")
 def hom1_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir)
+    return O.candidates(store(_newest(spark, sf_dir)))
 
 
-_SIGNATURES = "sg AS (SELECT v.body_hash, max(sv.minhash_signature) AS s FROM semantic_vectors sv JOIN v USING (symbol_version_id) WHERE lower(sv.view_type) = 'body' AND sv.minhash_signature IS NOT NULL AND NOT list_bool_and(list_transform(sv.minhash_signature, lambda x: x = 4294967295)) GROUP BY 1)"
 _SIG_SCORE = "CASE WHEN x.signature IS NULL OR y.signature IS NULL OR x.signature = '' OR y.signature = '' THEN 0 WHEN x.signature = y.signature THEN 1 ELSE least(1, 0.4 * CASE WHEN greatest(x.np, y.np) = 0 THEN 1 ELSE least(x.np, y.np)::DOUBLE / greatest(x.np, y.np) END + CASE WHEN x.rt <> '' AND x.rt = y.rt THEN 0.4 ELSE 0 END + CASE WHEN len(x.sw) > 0 AND len(y.sw) > 0 THEN 0.2 * " + _JACC.format("x.sw", "y.sw") + " ELSE 0 END) END"
 _SCORED = (
-    f"WITH {_LATEST}, {_CANDIDATES}, {_HINTS}, {_CONTRACT}, {_SIGNATURES}, "
-    f"pk AS (SELECT body_hash, list(DISTINCT hint_type) AS k, list(DISTINCT {_TOUCH}) FILTER ({_TOUCH} IS NOT NULL) AS touches, list_sort(list(DISTINCT hint_type || ':' || detail) FILTER (hint_type IN ('throws', 'catches'))) AS exc, list_sort(list(DISTINCT detail) FILTER (hint_type = 'auth_check')) AS auth, list_sort(list(DISTINCT hint_type || detail) FILTER (hint_type IN ('db_read', 'db_write', 'network_call'))) AS io FROM h GROUP BY 1), "
-    f"sy AS (SELECT lv.symbol_id AS id, lv.body_hash, lv.ast_hash, lv.normalized_ast_hash, lv.signature, s.canonical_name AS name, ['pure', 'read_only', 'read_write', 'side_effecting'][coalesce({_LEVEL}, 0) + 1] AS purity, coalesce(pk.touches, []) AS touches, coalesce(pk.exc, []) AS exc, coalesce(pk.auth, []) AS auth, coalesce(pk.io, []) AS io, ct.input_contract AS ci, ct.output_contract AS co, ct.error_contract AS ce, sg.s, {_LOOSE.format('s.canonical_name')} AS nw, "
+    f"{_BASE}, {_CONTRACT}, {FILES}, {BODIES}, {EDGES}, {_COMMITS}, {_PAIRS}, "
+    "ts AS (SELECT v.symbol_version_id FROM v JOIN (SELECT file_id, max(path) AS path FROM files GROUP BY 1) p USING (file_id) WHERE contains(path, '.test.') OR contains(path, '.spec.') OR contains(path, '__tests__')), "
+    "tb AS (SELECT e.dst, list(DISTINCT e.src) AS tests FROM e JOIN ts ON ts.symbol_version_id = e.src GROUP BY 1), "
+    "sy AS (SELECT sb.*, lv.signature, f.path, coalesce(tb.tests, []) AS tests, coalesce(pk.touches, []) AS touches, coalesce(pk.exc, []) AS exc, coalesce(pk.auth, []) AS auth, coalesce(pk.io, []) AS io, ct.input_contract AS ci, ct.output_contract AS co, ct.error_contract AS ce, "
+    f"{_LOOSE.format('sb.name')} AS nw, "
     "len(list_filter(string_split(regexp_extract(lv.signature, '\\((.*?)\\)', 1), ','), lambda p: p <> '')) AS np, trim(string_split(lv.signature, ':')[-1]) AS rt, list_distinct(list_filter(string_split_regex(lower(regexp_replace(lv.signature, '[(),:]', ' ', 'g')), '\\s+'), lambda t: length(t) > 1)) AS sw "
-    "FROM lv JOIN symbols s USING (symbol_id) LEFT JOIN pk ON pk.body_hash = lv.body_hash AND lv.body_source IS NOT NULL LEFT JOIN ct ON ct.symbol_version_id = lv.symbol_version_id LEFT JOIN sg ON sg.body_hash = lv.body_hash), "
-    "sc AS (SELECT cd.a, cd.b, CASE WHEN x.body_hash = y.body_hash THEN 1.0 WHEN x.normalized_ast_hash = y.normalized_ast_hash THEN 0.90 WHEN x.ast_hash = y.ast_hash THEN 0.85 WHEN x.s IS NULL OR y.s IS NULL THEN 0 ELSE list_sum(list_transform(range(1, 129), lambda i: CASE WHEN x.s[i] = y.s[i] THEN 1 ELSE 0 END)) / 128.0 END AS logic, "
+    "FROM sb JOIN lv ON lv.symbol_id = sb.id LEFT JOIN pk ON pk.body_hash = lv.body_hash AND lv.body_source IS NOT NULL LEFT JOIN ct ON ct.symbol_version_id = lv.symbol_version_id LEFT JOIN f ON f.file_id = lv.file_id LEFT JOIN tb ON tb.dst = lv.symbol_version_id), "
+    "co2 AS (SELECT g, a, b, round(j, 3) AS j FROM pj WHERE j >= 0.25), "
+    "sc AS (SELECT cd.a, cd.b, x.kind AS ka, y.kind AS kb, CASE WHEN x.body_hash = y.body_hash THEN 1.0 WHEN x.normalized_ast_hash = y.normalized_ast_hash THEN 0.90 WHEN x.ast_hash = y.ast_hash THEN 0.85 WHEN x.s IS NULL OR y.s IS NULL THEN 0 ELSE list_sum(list_transform(range(1, 129), lambda i: CASE WHEN x.s[i] = y.s[i] THEN 1 ELSE 0 END)) / 128.0 END AS logic, "
     f"{_JACC.format('x.nw', 'y.nw')} AS name, {_SIG_SCORE} AS signature, CASE WHEN len(x.touches) = 0 AND len(y.touches) = 0 THEN CASE WHEN x.purity = y.purity AND x.purity <> 'pure' THEN 0.3 ELSE 0 END ELSE least(1, {_JACC.format('x.touches', 'y.touches')} + CASE WHEN x.purity = y.purity THEN 0.2 ELSE 0 END) END AS behavior, "
     "CASE WHEN x.ci IS NULL OR y.ci IS NULL THEN 0 ELSE ((x.ci = y.ci)::INT + (x.co = y.co)::INT + (x.ce = y.ce)::INT) / 3.0 END AS contract, "
+    "least(1, 0.3 * len(list_intersect(x.tests, y.tests))) AS tests, coalesce(co2.j, 0) AS history, "
     "list_sort(list_filter([CASE WHEN x.purity <> y.purity THEN 'side_effects_differ' END, CASE WHEN x.exc <> y.exc THEN 'exception_semantics_differ' END, CASE WHEN x.auth <> y.auth THEN 'security_context_differs' END, CASE WHEN x.io <> y.io AND len(x.io) > 0 AND len(y.io) > 0 THEN 'io_shape_diverges' END], lambda f: f IS NOT NULL)) AS flags, "
-    "len(x.auth) > 0 AND len(y.auth) > 0 AS auth2, len(list_filter(x.exc, lambda e: starts_with(e, 'throws:'))) > 0 AND len(list_filter(y.exc, lambda e: starts_with(e, 'throws:'))) > 0 AS thr2 FROM (SELECT DISTINCT a, b FROM cd) cd JOIN sy x ON x.id = cd.a JOIN sy y ON y.id = cd.b), "
-    "tt AS (SELECT *, 0.20 * logic + 0.20 * name + 0.15 * signature + 0.15 * behavior + 0.15 * contract AS raw, (logic > 0.1)::INT + (name > 0.1)::INT + (signature > 0.1)::INT + (behavior > 0.1)::INT + (contract > 0.1)::INT AS fam FROM sc), "
-    "hm AS (SELECT *, CASE WHEN logic >= 0.85 THEN greatest(raw, 0.85) ELSE raw END AS total, CASE WHEN logic >= 0.85 THEN greatest(fam, 3) ELSE fam END AS families FROM tt)"
+    "len(x.auth) > 0 AND len(y.auth) > 0 AS auth2, len(list_filter(x.exc, lambda e: starts_with(e, 'throws:'))) > 0 AND len(list_filter(y.exc, lambda e: starts_with(e, 'throws:'))) > 0 AS thr2 "
+    "FROM cd JOIN sy x ON x.id = cd.a JOIN sy y ON y.id = cd.b LEFT JOIN co2 ON co2.g = x.repo_id AND co2.a = least(x.path, y.path) AND co2.b = greatest(x.path, y.path)), "
+    "tx AS (SELECT *, 0.20 * logic + 0.20 * name + 0.15 * signature + 0.15 * behavior + 0.15 * contract + 0.10 * tests + 0.05 * history AS raw, (logic > 0.1)::INT + (name > 0.1)::INT + (signature > 0.1)::INT + (behavior > 0.1)::INT + (contract > 0.1)::INT + (tests > 0.1)::INT + (history > 0.1)::INT AS fam FROM sc), "
+    "hm AS (SELECT *, CASE WHEN logic >= 0.85 THEN greatest(raw, 0.85) ELSE raw END AS total, CASE WHEN logic >= 0.85 THEN greatest(fam, 3) ELSE fam END AS families FROM tx)"
 )
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = latest_versions(spark, sf_dir, "body_hash", "ast_hash", "normalized_ast_hash", "signature", "body_source")
-    profiles = body_profiles(spark, sf_dir).select("body_hash", "purity_class", "resource_touches", "exception_profile", "auth_operations", F.array_sort(F.concat("db_reads", "db_writes", "network_calls")).alias("io"))
-    stored = table(spark, sf_dir, "semantic_vectors").where("lower(view_type) = 'body' and minhash_signature is not null").where(~H.is_empty_signature(F.col("minhash_signature"))).select("symbol_version_id", "minhash_signature")
-    sigs = corpus.versions(spark, sf_dir, "body_hash").join(stored, "symbol_version_id").groupBy("body_hash").agg(F.max("minhash_signature").alias("s"))
-    empty = F.array().cast("array<string>")
-    with_body = latest.withColumn("profiled", F.when(F.col("body_source").isNotNull(), F.col("body_hash"))).drop("body_source")
-    one = (
-        with_body.join(table(spark, sf_dir, "symbols").select("symbol_id", "canonical_name"), "symbol_id")
-        .join(profiles.withColumnRenamed("body_hash", "profiled"), "profiled", "left")
-        .join(contracts(spark, sf_dir).drop("symbol_id"), "symbol_version_id", "left")
-        .join(sigs, "body_hash", "left")
-        .select("symbol_id", "body_hash", "ast_hash", "normalized_ast_hash", "signature", "canonical_name", F.coalesce("purity_class", F.lit("pure")).alias("purity"), *[F.coalesce(c, empty).alias(n) for c, n in (("resource_touches", "touches"), ("exception_profile", "exc"), ("auth_operations", "auth"), ("io", "io"))], "input_contract", "output_contract", "error_contract", "s")
-    )
-    side = lambda x: one.select(*[F.col(c).alias(f"{c}_{x}") for c in one.columns]).withColumnRenamed(f"symbol_id_{x}", x)
-    both = _candidates(spark, sf_dir).join(side("a"), "a").join(side("b"), "b")
+    newest = store(_newest(spark, sf_dir))
+    paths = corpus.files(spark, sf_dir, "path").select("file_id", "path")
+    tests = test_callers(spark, sf_dir).groupBy(F.col("dst").alias("symbol_version_id")).agg(F.collect_set("src").alias("tests"))
+    one = newest.join(contracts(spark, sf_dir).drop("symbol_id"), "symbol_version_id", "left").join(paths, "file_id", "left").join(tests, "symbol_version_id", "left").withColumn("tests", F.coalesce("tests", F.array().cast("array<string>"))).drop("symbol_version_id", "file_id")
+    side = lambda x: one.select(*[F.col(c).alias(f"{c}_{x}") for c in one.columns]).withColumnRenamed(f"id_{x}", x)
+    pairs = O.candidates(newest).join(side("a"), "a").join(side("b"), "b").withColumn("first", F.least("path_a", "path_b")).withColumn("second", F.greatest("path_a", "path_b"))
+    edges = co_change_edges(changed_pairs(spark, sf_dir)).where("src < dst").select(F.col("g").alias("repo_id_a"), F.col("src").alias("first"), F.col("dst").alias("second"), "confidence")
+    both = pairs.join(edges, ["repo_id_a", "first", "second"], "left")
     two = lambda c: (F.col(f"{c}_a"), F.col(f"{c}_b"))
     same = lambda c: F.col(f"{c}_a") == F.col(f"{c}_b")
     scores = {
         "logic": O.logic_similarity(same("body_hash"), same("normalized_ast_hash"), same("ast_hash"), *two("s")),
-        "name": T.jaccard(T.loose_name_words(F.col("canonical_name_a")), T.loose_name_words(F.col("canonical_name_b"))),
+        "name": T.jaccard(T.loose_name_words(F.col("name_a")), T.loose_name_words(F.col("name_b"))),
         "signature": T.signature_similarity(*two("signature")),
         "behavior": O.behavioral_overlap(*two("touches"), *two("purity")),
         "contract": O.contract_overlap([two("input_contract"), two("output_contract"), two("error_contract")]),
-        "tests": F.lit(0.0),
-        "history": F.lit(0.0),
+        "tests": F.least(F.lit(1.0), 0.3 * F.size(F.array_intersect("tests_a", "tests_b"))),
+        "history": F.coalesce("confidence", F.lit(0.0)),
     }
-    named = both.select("a", "b", *[c.alias(f"e_{k}") for k, c in scores.items()], O.contradictions(two("purity"), two("exc"), two("auth"), two("io")).alias("flags"), ((F.size("auth_a") > 0) & (F.size("auth_b") > 0)).alias("auth2"), (F.exists("exc_a", lambda e: e.startswith("throws:")) & F.exists("exc_b", lambda e: e.startswith("throws:"))).alias("thr2"))
+    named = both.select("a", "b", "kind_a", "kind_b", *[c.alias(f"e_{k}") for k, c in scores.items()], O.contradictions(two("purity"), two("exc"), two("auth"), two("io")).alias("flags"), ((F.size("auth_a") > 0) & (F.size("auth_b") > 0)).alias("auth2"), (F.exists("exc_a", lambda e: e.startswith("throws:")) & F.exists("exc_b", lambda e: e.startswith("throws:"))).alias("thr2"))
     kept = {k: F.col(f"e_{k}") for k in O.WEIGHTS}
     total, families = O.total_score(kept)
-    return named.select("*", total.alias("total"), families.alias("families"), O.relation_type(kept, F.col("auth2"), F.col("thr2")).alias("relation_type"))
+    return named.select("*", total.alias("total"), families.alias("families"), O.relation_type(kept, F.col("auth2"), F.col("thr2"), two("kind")).alias("relation_type"), O.rationale(kept).alias("rationale"))
 
 
-@r.query(_SCORED + " SELECT a, b, round(logic, 6)::DOUBLE AS logic, round(name, 6)::DOUBLE AS name, round(signature, 6)::DOUBLE AS signature, round(behavior, 6)::DOUBLE AS behavior, round(contract, 6)::DOUBLE AS contract, round(total, 6)::DOUBLE AS total, families::BIGINT AS families FROM hm")
+@r.query(_SCORED + " SELECT a, b, round(logic, 6)::DOUBLE AS logic, round(name, 6)::DOUBLE AS name, round(signature, 6)::DOUBLE AS signature, round(behavior, 6)::DOUBLE AS behavior, round(contract, 6)::DOUBLE AS contract, round(tests, 6)::DOUBLE AS tests, round(history, 6)::DOUBLE AS history, round(total + 1e-9, 6)::DOUBLE AS total, families::BIGINT AS families FROM hm")
 def hom2_to_hom8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("a", "b", *[F.round(f"e_{k}", 6).alias(k) for k in ("logic", "name", "signature", "behavior", "contract")], F.round("total", 6).alias("total"), F.col("families").cast("long").alias("families"))
+    return _scored(spark, sf_dir).select("a", "b", *[F.round(f"e_{k}", 6).alias(k) for k in O.WEIGHTS], F.round(F.col("total") + 1e-9, 6).alias("total"), F.col("families").cast("long").alias("families"))
 
 
 @r.query(
-    _SCORED + " SELECT a, b, CASE WHEN logic >= 0.85 THEN 'near_duplicate_logic' WHEN behavior >= 0.60 AND auth2 THEN 'auth_policy_peer' WHEN contract >= 0.50 AND thr2 THEN 'error_mapping_peer' WHEN behavior >= 0.70 AND contract >= 0.50 THEN 'business_rule_parallel' WHEN contract >= 0.70 THEN 'contract_sibling' WHEN signature >= 0.80 THEN 'normalization_homolog' ELSE 'near_duplicate_logic' END AS relation_type, "
+    _SCORED + " SELECT a, b, CASE WHEN logic >= 0.85 THEN 'near_duplicate_logic' WHEN ka = 'validator' AND kb = 'validator' THEN 'validator_homolog' WHEN ka = 'serializer' AND kb = 'serializer' THEN 'serializer_homolog' WHEN ka = 'query_builder' AND kb = 'query_builder' THEN 'query_logic_duplicate' WHEN behavior >= 0.60 AND auth2 THEN 'auth_policy_peer' WHEN contract >= 0.50 AND thr2 THEN 'error_mapping_peer' WHEN behavior >= 0.70 AND contract >= 0.50 THEN 'business_rule_parallel' WHEN contract >= 0.70 THEN 'contract_sibling' WHEN signature >= 0.80 THEN 'normalization_homolog' ELSE 'near_duplicate_logic' END AS relation_type, "
     "array_to_string(flags, ';') AS flags, round(total, 4)::DOUBLE AS confidence FROM hm WHERE families >= 2 AND total >= 0.60"
 )
 def hom9_to_hom12_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +128,12 @@ def hom9_to_hom12_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("a", "b", "relation_type", F.array_join("flags", ";").alias("flags"), F.round("total", 4).alias("confidence"))
 
 
-@r.query(_SCORED + " SELECT a, b, 'logic ' || printf('%.2f', logic) || '; name ' || printf('%.2f', name) || '; total ' || printf('%.2f', total) AS rationale FROM hm WHERE families >= 2 AND total >= 0.60")
+_WORDS = "CASE WHEN logic >= 0.85 THEN 'near-identical logic' WHEN logic > 0 THEN 'logic similarity: ' || round(logic * 100)::INT || '%' END, " + ", ".join(f"CASE WHEN {c} {least} THEN '{said}' END" for c, least, said in (("name", ">= 0.7", "strong name similarity"), ("signature", ">= 0.7", "matching signatures"), ("behavior", ">= 0.7", "overlapping behavior"), ("contract", ">= 0.7", "matching contracts"), ("tests", "> 0", "shared test coverage"), ("history", "> 0", "historical co-change")))
+
+
+@r.query(_SCORED + f" SELECT a, b, CASE WHEN concat_ws('; ', {_WORDS}) = '' THEN 'weak evidence' ELSE concat_ws('; ', {_WORDS}) END AS rationale FROM hm WHERE families >= 2 AND total >= 0.60")
 def hom13_rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _scored(spark, sf_dir).where((F.col("families") >= O.LEAST_FAMILIES) & (F.col("total") >= O.LEAST_TOTAL))
-    return kept.select("a", "b", F.concat_ws("; ", F.format_string("logic %.2f", "e_logic"), F.format_string("name %.2f", "e_name"), F.format_string("total %.2f", "total")).alias("rationale"))
+    return _scored(spark, sf_dir).where((F.col("families") >= O.LEAST_FAMILIES) & (F.col("total") >= O.LEAST_TOTAL)).select("a", "b", "rationale")
 
 
 @r.query(_SCORED + " SELECT a, b, round(total, 4)::DOUBLE AS confidence, len(flags) = 0 AND total >= 0.85 AS safe FROM hm WHERE families >= 2 AND total >= 0.70")
@@ -125,7 +151,7 @@ def _families(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return connected_components(edges, "a", "b").withColumnsRenamed({"node": "member", "component": "family"}), edges
 
 
-@r.query(_FAMILIES + ", k AS (SELECT family, kind, count(*) AS n FROM fm JOIN symbols s ON s.symbol_id = fm.member GROUP BY 1, 2), t AS (SELECT family, sum(n) AS n_members, arg_max(kind, (n, kind)) AS kind FROM k GROUP BY 1) SELECT family, n_members::BIGINT AS n_members, kind AS majority_kind FROM t")
+@r.query(_FAMILIES + ", k AS (SELECT family, kind, count(*) AS n FROM fm JOIN symbols s ON s.symbol_id = fm.member GROUP BY 1, 2), fk AS (SELECT family, sum(n) AS n_members, arg_max(kind, (n, kind)) AS kind FROM k GROUP BY 1) SELECT family, n_members::BIGINT AS n_members, kind AS majority_kind FROM fk")
 def fam1_fam2_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = _families(spark, sf_dir)
     kinds = members.join(table(spark, sf_dir, "symbols").select(F.col("symbol_id").alias("member"), "kind"), "member").groupBy("family", "kind").agg(F.count("*").alias("n"))
