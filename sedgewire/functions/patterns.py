@@ -180,6 +180,7 @@ writes db.delete (?i)\.(delete|destroy|remove|deleteOne|deleteMany|truncate)\b
 writes db.transaction (?i)\.(transaction|beginTransaction|startTransaction)\b
 acquires_lock db.transaction_lock (?i)\.(transaction|beginTransaction|startTransaction)\b
 calls_external network.http (?i)\b(fetch|axios|got|superagent|request)\b
+calls_external network.http (?i)\b(axios|http|https|fetch|got|superagent|request|client|api|restClient|httpClient)\.(get|post|put|patch|delete)\s*\(
 emits event.generic (?i)\.(emit|publish|dispatch|send|broadcast|trigger)\b
 emits event.messaging (?i)\b(EventEmitter|PubSub|MessageQueue|kafka|rabbitmq|sns|sqs)\b
 reads file.read (?i)\bfs\.(readFile|readFileSync|readdir|readdirSync|stat|statSync|access)\b
@@ -203,11 +204,18 @@ PYTHON_EFFECTS = r"""
 calls_external network.http (?i)\b(requests)\.(get|post|put|patch|delete|head|options)\s*\(
 """
 JAVA_EFFECTS = r"""
+calls_external network.http (?i)\b(HttpClient|RestTemplate|OkHttpClient|WebClient)\.(get|post|put|patch|delete)\s*\(
+reads db.jdbc_read \b(JdbcTemplate|NamedParameterJdbcTemplate)\.(query|queryForObject|queryForList)\b
+writes db.jdbc_write \b(JdbcTemplate|NamedParameterJdbcTemplate)\.(update|batchUpdate|execute)\b
+reads db.jpa_read \bEntityManager\.(find|createQuery|createNamedQuery|getReference)\b
+writes db.jpa_write \bEntityManager\.(persist|merge|remove|flush)\b
 calls_external network.java_http \b(HttpClient|OkHttpClient|RestTemplate|WebClient)\b
 opens file.java_nio \bFiles\.(read|write|copy|move|delete|walk|list|newInputStream|newOutputStream)\b
 opens file.java_io \b(FileInputStream|FileOutputStream|BufferedReader|BufferedWriter)\b
 acquires_lock concurrency.java_synchronized \bsynchronized\b
 acquires_lock concurrency.java_lock \b(ReentrantLock|StampedLock|CountDownLatch|Semaphore)\b
+writes db.transaction \b@Transactional\b
+acquires_lock db.transaction_lock \b@Transactional\b
 logs log.java_logger \bLogger\.(info|warn|error|debug|trace)\b
 """
 GO_EFFECTS = r"""
@@ -218,16 +226,68 @@ acquires_lock concurrency.go_sync \bsync\.(Mutex|RWMutex|WaitGroup)\b
 calls_external runtime.goroutine \bgo\s+\w+\(
 logs log.go \b(log|slog)\.(Print|Fatal|Panic|Info|Warn|Error|Debug)\b
 """
+RUST_EFFECTS = r"""
+calls_external network.http (?i)\breqwest::Client\b.*\.(get|post|put|patch|delete)\s*\(
+calls_external runtime.tokio \btokio::(spawn|block_on|select!)\b
+calls_external network.reqwest \breqwest::(get|Client)\b
+opens file.rust_fs \bstd::fs::
+opens file.rust_file \bFile::(open|create)\b
+reads db.rust_orm_read (?i)\b(diesel|sqlx|sea_orm)::.*(select|find|load|get)\b
+writes db.rust_orm_write (?i)\b(diesel|sqlx|sea_orm)::.*(insert|update|delete|execute)\b
+mutates state.arc_shared \bArc::(new|clone)\b
+acquires_lock concurrency.mutex \bMutex::(new|lock)\b
+acquires_lock concurrency.rwlock \bRwLock::(new|read|write)\b
+mutates state.unsafe_block \bunsafe\s*\{
+throws error.panic \bpanic!\b
+throws error.unwrap_panic \b\.unwrap\(\)
+normalizes data.serde \bserde(_json)?::(to_string|from_str|serialize|deserialize)\b
+logs log.tracing \btracing::(info|warn|error|debug|trace)!?\b
+logs log.rust_log \blog::(info|warn|error|debug|trace)!?\b
+"""
+CSHARP_EFFECTS = r"""
+calls_external network.http (?i)\b(HttpClient|RestTemplate|OkHttpClient|WebClient)\.(get|post|put|patch|delete)\s*\(
+reads db.ef_context \bDbContext\b
+reads db.ef_read \b(DbSet|IQueryable)\.(Where|Select|Include|FirstOrDefault|ToList|Any|Count)\b
+writes db.ef_write \b(SaveChanges|SaveChangesAsync|Add|Remove|Update)\b
+calls_external network.csharp_http \bHttpClient\.(GetAsync|PostAsync|PutAsync|DeleteAsync|SendAsync)\b
+opens file.csharp_io \b(File|Directory)\.(Read|Write|Create|Delete|Move|Copy|Exists)\b
+acquires_lock concurrency.csharp_lock \block\s*\(
+acquires_lock concurrency.csharp_sync \b(SemaphoreSlim|Monitor|Mutex)\b
+logs log.csharp_ilogger (?i)\bILogger\.(Log|Info|Warn|Error|Debug|Trace)\b
+"""
+KOTLIN_EFFECTS = r"""
+calls_external network.http (?i)\b(HttpClient|RestTemplate|OkHttpClient|WebClient)\.(get|post|put|patch|delete)\s*\(
+"""
+RUBY_EFFECTS = r"""
+reads db.activerecord \b(ActiveRecord|ApplicationRecord)
+reads db.ar_read \.(where|find|find_by|pluck|select|joins|includes|eager_load)\b
+writes db.ar_write \.(create|update|destroy|save|delete|insert)\b
+calls_external network.ruby_http \b(Net::HTTP|HTTParty|Faraday|RestClient)\b
+opens file.ruby_io \bFile\.(open|read|write|delete)\b
+reads cache.rails \bRails\.cache\b
+reads cache.redis \bRedis\b
+throws error.ruby_raise \braise\s+\w
+logs log.rails \bRails\.logger\b
+"""
+CPP_EFFECTS = r"""
+calls_external runtime.cpp_thread \bstd::thread\b
+acquires_lock concurrency.cpp_mutex \bstd::(mutex|shared_mutex|lock_guard|unique_lock)\b
+opens file.cpp_fstream \bstd::(ifstream|ofstream|fstream)\b
+calls_external network.boost_asio \bboost::asio\b
+logs log.cpp_cout \bstd::cout\b
+logs log.cpp_cerr \bstd::cerr\b
+"""
 
 
 def rows(text: str) -> list[tuple[str, str, str]]:
     """(kind, name, pattern) of each line of a table."""
-    return [tuple(line.split(" ", 2)) for line in text.strip().split("\n")]
+    return [tuple(line.split(" ", 2)) for line in text.strip().split("\n") if line]
 
 
 #: Tables by language; "" for all that are not named.
 HINTS = {"typescript": rows(SCRIPT_HINTS), "javascript": rows(SCRIPT_HINTS), "python": rows(PYTHON_HINTS), "java": rows(OTHER_HINTS) + rows(JAVA_HINTS), "go": rows(OTHER_HINTS) + rows(GO_HINTS), "": rows(OTHER_HINTS)}
-EFFECT_PATTERNS = {"python": rows(EFFECTS) + rows(PYTHON_EFFECTS), "java": rows(EFFECTS) + rows(JAVA_EFFECTS), "go": rows(EFFECTS) + rows(GO_EFFECTS), "": rows(EFFECTS)}
+_OWN_EFFECTS = {"python": PYTHON_EFFECTS, "java": JAVA_EFFECTS, "go": GO_EFFECTS, "rust": RUST_EFFECTS, "csharp": CSHARP_EFFECTS, "kotlin": KOTLIN_EFFECTS, "ruby": RUBY_EFFECTS, "cpp": CPP_EFFECTS, "": ""}
+EFFECT_PATTERNS = {language: rows(EFFECTS + own) for language, own in _OWN_EFFECTS.items()}
 
 
 def matches(text: Column, language: Column, tables: dict[str, list[tuple[str, str, str]]]) -> Column:

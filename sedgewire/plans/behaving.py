@@ -166,6 +166,14 @@ def eff1_eff3_profile_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("body_hash", _joined("effects"), B.effect_class(F.col("effects")).alias("effect_class"))
 
 
+@r.query(f"WITH {VERSIONS}, {_CONTRACT}, x AS (SELECT symbol_version_id, trim(unnest(string_split(error_contract, '|'))) AS t FROM ct WHERE error_contract <> 'never') SELECT symbol_version_id, string_agg(DISTINCT d, ';' ORDER BY d) AS effects FROM (SELECT symbol_version_id, 'throws:error.' || regexp_replace(regexp_replace(lower(t), '\\s+', '_', 'g'), '[^a-z0-9_.-]', '', 'g') AS d FROM x WHERE t <> '') GROUP BY 1")
+def eff2_contract_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects that a version's error contract states: each error type it may throw."""
+    rows = contracts(spark, sf_dir).where("error_contract <> 'never'").select("symbol_version_id", F.explode(F.split("error_contract", r"\|")).alias("t")).where("trim(t) <> ''")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim("t")), r"\s+", "_"), r"[^a-z0-9_.-]", "")
+    return rows.groupBy("symbol_version_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("throws:error."), plain))), ";").alias("effects"))
+
+
 @r.query("WITH " + _EFF + ", " + _STEPS + " SELECT symbol_id, st.a, st.b, array_to_string(list_sort(list_filter(y.e, lambda t: NOT list_contains(x.e, t))), ';') AS added, array_to_string(list_sort(list_filter(x.e, lambda t: NOT list_contains(y.e, t))), ';') AS removed FROM st JOIN ef x ON x.body_hash = st.a JOIN ef y ON y.body_hash = st.b WHERE st.a IS NOT NULL")
 def eff8_effect_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = body_effects(spark, sf_dir)

@@ -83,8 +83,11 @@ def dsp2_callsites(spark: SparkSession, sf_dir: str) -> DataFrame:
 @r.query()
 def dsp3_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = corpus.bodies(spark, sf_dir)
-    methods = table(spark, sf_dir, "symbols").where("kind in ('method', 'function')").select(F.element_at(F.split("logical_namespace", r"\."), -1).alias("type"), F.col("canonical_name").alias("method"), F.col("symbol_id").alias("target"))
-    return D.resolve(D.callsites(bodies), D.points_to(bodies), methods)
+    last = F.element_at(F.split("logical_namespace", r"\."), -1)
+    symbols = table(spark, sf_dir, "symbols").where("logical_namespace is not null")
+    methods = symbols.where("kind in ('method', 'function')").select(last.alias("class"), F.col("canonical_name").alias("method"), F.col("symbol_id").alias("target"))
+    homes = table(spark, sf_dir, "symbol_versions").select("symbol_id", F.col("body_hash").alias("owner")).join(symbols.select("symbol_id", last.alias("class")), "symbol_id").select("owner", "class").distinct()
+    return D.resolve(D.callsites(bodies), D.points_to(bodies), homes, methods)
 
 
 @r.query()

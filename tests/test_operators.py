@@ -72,3 +72,32 @@ def test_co_changes_of_a_large_commit(spark):
     got = {(a, b): (n, j) for a, b, n, j in rows(temporal.co_changes(items, dates).select("a", "b", "n", "jaccard"))}
     assert len(got) == 120 * 119 // 2 and got["f000", "f001"] == (2, 1.0)
     assert got["f117", "f119"] == (2, 1.0) and got["f118", "f119"] == (2, 2 / 3)
+
+
+def test_call_chains_are_resolved_segment_by_segment(spark):
+    from sedgewire.operators import dispatch
+
+    calls = spark.createDataFrame([("b1", 1, "save"), ("b1", 2, "repo.find"), ("b1", 3, "repo.pool.open"), ("b1", 4, "gone.find"), ("b1", 4, "gone.find"), (None, 1, "x"), ("b2", 1, "lost")], "owner string, line_no long, chain string")
+    facts = spark.createDataFrame([("b1", "repo", ["Repo", "Cache"], 0.95), ("b3", "pool", ["Pool"], 0.9)], "owner string, field string, types array<string>, confidence double")
+    homes = spark.createDataFrame([("b1", "Service"), ("b3", "Repo")], "owner string, class string")
+    methods = spark.createDataFrame([("Service", "save", "t1"), ("Repo", "find", "t2"), ("Cache", "find", "t3"), ("Pool", "open", "t4")], "class string, method string, target string")
+    got = {(r.line_no, r.chain): (r.targets, r.confidence, r.polymorphic) for r in dispatch.resolve(calls, facts, homes, methods).collect()}
+    assert got == {
+        (1, "save"): (["t1"], 0.85, False), (2, "repo.find"): (["t2", "t3"], 0.855, True), (3, "repo.pool.open"): (["t4"], round(0.95 * 0.9 * 0.9, 4), False),
+        (4, "gone.find"): ([], 0.09, False), (1, "lost"): ([], 0.3, False),
+    }
+    assert dispatch.resolve(calls.limit(0), facts, homes, methods).count() == 0
+
+
+def test_homolog_candidates(spark):
+    from sedgewire.operators import homolog
+
+    schema = "id string, repo_id string, kind string, purity string, name string, body_hash string, ast_hash string, normalized_ast_hash string, s array<bigint>"
+    sig = [i for i in range(128)]
+    near = sig[:64] + [1000 + i for i in range(64)]
+    data = [("a", "r", "k1", "pure", "loadOrder", "h", "x1", None, sig), ("b", "r", "k2", "pure", "zip", "h", "x2", None, None), ("c", "r", "k3", "pure", "loadOrders", "h3", "x3", None, None), ("d", "r", "k4", "pure", "q", "h4", "x4", None, near), ("e", "q", "k1", "pure", "loadOrder", "h", "x1", None, sig), (None, "r", "k1", "pure", "loadOrder", "h", "x1", None, sig)]
+    got = rows(homolog.candidates(spark.createDataFrame(data, schema)))
+    assert got == [("a", "b"), ("a", "c"), ("a", "d")]  # body, name, signature; never across repositories
+    alike = [(f"i{i:03d}", "r", "k", "pure", None, "h", None, None, None) for i in range(300)]
+    assert len(rows(homolog.candidates(spark.createDataFrame(alike, schema)))) <= 300 * 51
+    assert rows(homolog.candidates(spark.createDataFrame([], schema))) == []
