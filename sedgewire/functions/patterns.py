@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -278,6 +280,77 @@ logs log.cpp_cout \bstd::cout\b
 logs log.cpp_cerr \bstd::cerr\b
 """
 
+# Invariants of bodies by family: category, strength, pattern ## what it states (\1 to \9: the pattern's groups).
+ASSERTIONS = r"""
+assert 0.90 \bassert\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))+)\) ## assert:\1
+assert 0.85 \bconsole\s*\.\s*assert\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))+)\) ## console_assert:\1
+assert 0.92 \binvariant\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))+)\) ## invariant_call:\1
+precondition 0.93 \bprecondition\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))+)\) ## precondition:\1
+"""
+GUARDS = r"""
+guard_clause 0.88 if\s*\(\s*(![\w.\[\]?]+|[\w.\[\]?]+\s*(?:===?|!==?)\s*(?:null|undefined|false|0|''|""|``))\s*\)\s*\{?\s*throw\b ## guard_clause:\1 => throw
+guard_clause 0.75 if\s*\(\s*(![\w.\[\]?]+|[\w.\[\]?]+\s*(?:===?|!==?)\s*(?:null|undefined|false|0|''|""|``))\s*\)\s*\{?\s*return\b ## guard_clause:\1 => early_return
+"""
+TYPE_GUARDS = r"""
+type_guard 0.82 typeof\s+([\w.]+)\s*(?:===?|!==?)\s*['"](string|number|boolean|function|object|undefined|bigint|symbol)['"] ## type_guard:typeof \1 === '\2'
+type_guard 0.82 ([\w.]+)\s+instanceof\s+([\w.]+) ## type_guard:\1 instanceof \2
+type_guard 0.82 Array\s*\.\s*isArray\s*\(\s*([\w.]+)\s*\) ## type_guard:Array.isArray(\1)
+type_guard 0.78 (?:Number\s*\.\s*)?isNaN\s*\(\s*([\w.]+)\s*\) ## type_guard:isNaN(\1) checked
+type_guard 0.78 (?:Number\s*\.\s*)?isFinite\s*\(\s*([\w.]+)\s*\) ## type_guard:isFinite(\1) checked
+"""
+NULL_CHECKS = r"""
+null_safety 0.72 ([\w.]+)\s*\?\?\s*([^;,\n]+) ## null_safety:\1 has nullish fallback \2
+null_safety 0.68 ([\w.]+)\s*\?\.\s*([\w.]+) ## null_safety:\1 optional-chained to \2
+null_check 0.80 if\s*\(\s*([\w.]+)\s*(?:!==?|===?)\s*(?:null|undefined)\s*\) ## null_check:\1 explicitly checked against null/undefined
+null_check 0.80 if\s*\(\s*([\w.]+)\s*(?:!=)\s*(?:null)\s*\) ## null_check:\1 loosely checked (covers null + undefined)
+"""
+RANGES = r"""
+range_check 0.88 Math\s*\.\s*max\s*\(\s*(-?\d+(?:\.\d+)?)\s*,\s*Math\s*\.\s*min\s*\(\s*(-?\d+(?:\.\d+)?)\s*,\s*([\w.]+)\s*\)\s*\) ## range_clamp:\3 clamped to [\1, \2]
+range_check 0.83 Math\s*\.\s*max\s*\(\s*(-?\d+(?:\.\d+)?)\s*,\s*([\w.]+)\s*\) ## range_lower_bound:\2 >= \1 (clamped)
+range_check 0.83 Math\s*\.\s*min\s*\(\s*(-?\d+(?:\.\d+)?)\s*,\s*([\w.]+)\s*\) ## range_upper_bound:\2 <= \1 (clamped)
+range_check 0.78 if\s*\(\s*([\w.]+)\s*(<|>|<=|>=)\s*(-?\d+(?:\.\d+)?)\s*\) ## boundary_check:\1 \2 \3
+length_check 0.80 if\s*\(\s*([\w.]+)\s*\.\s*length\s*(<|>|<=|>=|===?|!==?)\s*(\d+)\s*\) ## length_check:\1.length \2 \3
+"""
+ENUMS = r"""
+enum_restriction 0.82 \[\s*([^\]]+)\s*\]\s*\.\s*includes\s*\(\s*([\w.]+)\s*\) ## enum_restriction:\2 in [\1]
+"""
+NORMALIZATIONS = r"""
+normalization_trim 0.70 ([\w.]+)\s*\.\s*trim\s*\(\s*\) ## normalization:\1 is trimmed
+normalization_lowercase 0.70 ([\w.]+)\s*\.\s*toLowerCase\s*\(\s*\) ## normalization:\1 is lowercased
+normalization_uppercase 0.70 ([\w.]+)\s*\.\s*toUpperCase\s*\(\s*\) ## normalization:\1 is uppercased
+normalization_replace 0.68 ([\w.]+)\s*\.\s*replace\s*\(\s*(\/(?:[^/\\]|\\.)+\/[gimsuy]*|['"][^'"]*['"])\s*, ## normalization:\1 undergoes replace(\2)
+normalization_parse 0.72 parseInt\s*\(\s*([\w.]+)\s*(?:,\s*\d+)?\s*\) ## normalization:\1 parsed as integer
+normalization_parse 0.72 parseFloat\s*\(\s*([\w.]+)\s*\) ## normalization:\1 parsed as float
+normalization_parse 0.72 Number\s*\(\s*([\w.]+)\s*\) ## normalization:\1 coerced to Number
+deserialization 0.75 JSON\s*\.\s*parse\s*\(\s*([\w.]+)\s*\) ## deserialization:\1 is JSON-parsed (may throw SyntaxError)
+"""
+DECORATORS = r"""
+decorator_email 0.92 (?i)@IsEmail\s*\( ## decorator_validation:field must be valid email
+decorator_url 0.92 (?i)@IsUrl\s*\( ## decorator_validation:field must be valid URL
+decorator_uuid 0.92 (?i)@IsUUID\s*\( ## decorator_validation:field must be valid UUID
+decorator_int 0.90 (?i)@IsInt\s*\( ## decorator_validation:field must be integer
+decorator_number 0.90 (?i)@IsNumber\s*\( ## decorator_validation:field must be number
+decorator_string 0.90 (?i)@IsString\s*\( ## decorator_validation:field must be string
+decorator_boolean 0.90 (?i)@IsBoolean\s*\( ## decorator_validation:field must be boolean
+decorator_date 0.90 (?i)@IsDate\s*\( ## decorator_validation:field must be Date
+decorator_enum 0.90 (?i)@IsEnum\s*\( ## decorator_validation:field must be enum value
+decorator_not_empty 0.90 (?i)@IsNotEmpty\s*\( ## decorator_validation:field must not be empty
+decorator_optional 0.80 (?i)@IsOptional\s*\( ## decorator_validation:field is optional
+decorator_array 0.90 (?i)@IsArray\s*\( ## decorator_validation:field must be array
+decorator_range 0.90 (?i)@Min\s*\(\s*(-?\d+(?:\.\d+)?)\s*\) ## decorator_range:min=\1
+decorator_range 0.90 (?i)@Max\s*\(\s*(-?\d+(?:\.\d+)?)\s*\) ## decorator_range:max=\1
+decorator_length 0.90 (?i)@MinLength\s*\(\s*(\d+)\s*\) ## decorator_length:minLength=\1
+decorator_length 0.90 (?i)@MaxLength\s*\(\s*(\d+)\s*\) ## decorator_length:maxLength=\1
+decorator_length 0.90 (?i)@Length\s*\(\s*(\d+)\s*\) ## decorator_length:length=[\1]
+decorator_length 0.90 (?i)@Length\s*\(\s*(\d+)\s*,\s*(\d+)\s*\) ## decorator_length:length=[\1, \2]
+decorator_pattern 0.88 (?i)@Matches\s*\(\s*(\/(?:[^/\\]|\\.)+\/[gimsuy]*)\s*\) ## decorator_pattern:must match \1
+decorator_auth 0.93 (?i)@(?:RequiresRole|Roles?|HasRole)\s*\(\s*['"]([^'"]+)['"]\s*\) ## decorator_auth:requires role '\1'
+decorator_auth 0.93 (?i)@(?:Authenticated|UseGuards|Auth|RequireAuth)\s*\( ## decorator_auth:requires authentication
+decorator_rate_limit 0.88 (?i)@(?:RateLimit|Throttle|RateLimiter)\s*\(\s*(\d+)\s*\) ## decorator_rate_limit:limit=\1
+decorator_rate_limit 0.88 (?i)@(?:RateLimit|Throttle|RateLimiter)\s*\(\s*(\d+)\s*,\s*['"]([^'"]+)['"]\s*\) ## decorator_rate_limit:limit=\1 per \2
+decorator_validate 0.85 (?i)@(?:Validate|ValidateNested|ValidateIf)\s*\( ## decorator_validation:input undergoes validation
+"""
+
 
 def rows(text: str) -> list[tuple[str, str, str]]:
     """(kind, name, pattern) of each line of a table."""
@@ -305,3 +378,28 @@ def matches_sql(text: str, language: str, tables: dict[str, list[tuple[str, str,
     quote = lambda s: s.replace("'", "''")
     found = lambda t: "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({text}, '{quote(rx)}') THEN '{k}|{n}' END" for k, n, rx in t) + "], lambda x: x IS NOT NULL)"
     return f"CASE {language} " + " ".join(f"WHEN '{n}' THEN {found(t)}" for n, t in tables.items() if n) + f" ELSE {found(tables[''])} END"
+
+
+def invariant_rules(text: str) -> list[tuple[str, float, str, str]]:
+    """(category, strength, pattern, statement) of each line of a table of invariants."""
+    split = [line.split(" ", 2) for line in text.strip().split("\n")]
+    return [(category, float(strength), *rest.split(" ## ")) for category, strength, rest in split]
+
+
+INVARIANTS = {name: invariant_rules(text) for name, text in (("assertions", ASSERTIONS), ("guards", GUARDS), ("type_guards", TYPE_GUARDS), ("null_checks", NULL_CHECKS), ("ranges", RANGES), ("enums", ENUMS), ("normalizations", NORMALIZATIONS), ("decorators", DECORATORS))}
+
+
+def invariants(text: Column, rules: list[tuple[str, float, str, str]]) -> Column:
+    """array<struct<category, expression, strength>> of all matches in a text, with runs of white space as one blank."""
+    def found(category: str, strength: float, rx: str, states: str) -> Column:
+        filled = lambda m: F.trim(F.regexp_replace(F.regexp_replace(m, F.lit(rx), F.lit(re.sub(r"\\(\d)", r"$\1", states))), r"[ \t\r\n]+", " "))
+        return F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(0)), lambda m: F.struct(F.lit(category).alias("category"), filled(m).alias("expression"), F.lit(strength).alias("strength")))
+
+    return F.flatten(F.array(*[found(*rule) for rule in rules]))
+
+
+def invariants_sql(text: str, rules: list[tuple[str, float, str, str]]) -> str:
+    """The same as a DuckDB list of structs."""
+    quote = lambda s: s.replace("'", "''")
+    found = lambda c, w, rx, states: f"list_transform(regexp_extract_all({text}, '{quote(rx)}'), lambda m: {{'category': '{c}', 'expression': trim(regexp_replace(regexp_replace(m, '{quote(rx)}', '{quote(states)}'), '[ \\t\\r\\n]+', ' ', 'g')), 'strength': {w}::DOUBLE}})"
+    return "flatten([" + ", ".join(found(*rule) for rule in rules) + "])"

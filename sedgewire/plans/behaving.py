@@ -205,4 +205,38 @@ def unc2_unc3_st29_snapshot_confidence(spark: SparkSession, sf_dir: str) -> Data
     return B.snapshot_confidence(flags, "snapshot_id").select("snapshot_id", F.round("confidence", 6).alias("confidence"), T.confidence_band(F.col("confidence")).alias("band"))
 
 
+def _family(rules: list):
+    def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Invariants of one family that bodies state, each once per body."""
+        found = language_bodies(spark, sf_dir).select("body_hash", F.explode(P.invariants(F.col("body_source"), rules)).alias("i"))
+        return found.select("body_hash", "i.*").distinct()
+
+    return mined
+
+
+for _name, _rules in P.INVARIANTS.items():
+    _mined = _family(_rules)
+    _mined.__name__ = f"dct3_{_name}" if _name == "decorators" else f"dct1_{_name}"
+    r.query("WITH " + _LB + ", x AS (SELECT body_hash, unnest(" + P.invariants_sql("body_source", _rules) + ") AS i FROM lb) SELECT DISTINCT body_hash, i.category, i.expression, i.strength FROM x")(_mined)
+
+# both bounds of one name in one condition; a pattern without a reference back, so that both engines read it
+_BOTH_BOUNDS = r"if\s*\(\s*([\w.]+)\s*(<|>|<=|>=)\s*(-?\d+(?:\.\d+)?)\s*(?:\|\||&&)\s*([\w.]+)\s*(<|>|<=|>=)\s*(-?\d+(?:\.\d+)?)\s*\)"
+
+
+@r.query("WITH " + _LB + f", x AS (SELECT body_hash, unnest(regexp_extract_all(body_source, '{_BOTH_BOUNDS}')) AS m FROM lb) SELECT DISTINCT body_hash, 'range_check:' || regexp_replace(m, '{_BOTH_BOUNDS}', '\\1 \\2 \\3 and \\1 \\5 \\6') AS expression, 0.85::DOUBLE AS strength FROM x WHERE regexp_extract(m, '{_BOTH_BOUNDS}', 1) = regexp_extract(m, '{_BOTH_BOUNDS}', 4)")
+def dct1_range_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_bodies(spark, sf_dir).select("body_hash", F.explode(F.regexp_extract_all("body_source", F.lit(_BOTH_BOUNDS), F.lit(0))).alias("m")).where(F.regexp_extract("m", _BOTH_BOUNDS, 1) == F.regexp_extract("m", _BOTH_BOUNDS, 4))
+    return found.select("body_hash", F.concat(F.lit("range_check:"), F.regexp_replace("m", _BOTH_BOUNDS, "$1 $2 $3 and $1 $5 $6")).alias("expression"), F.lit(0.85).alias("strength")).distinct()
+
+
+_SWITCH, _CASE = r"switch\s*\(\s*([\w.]+)\s*\)\s*\{([\s\S]*)", r"""case\s+['"`]?([\w.]+)['"`]?\s*:"""
+
+
+@r.query("WITH " + _LB + f", x AS (SELECT body_hash, regexp_extract(body_source, '{_SWITCH}', 1) AS name, regexp_extract_all(regexp_extract(body_source, '{_SWITCH}', 2), '{_CASE.replace(chr(39), chr(39) * 2)}', 1) AS v FROM lb) SELECT body_hash, 'enum_restriction:' || name || ' in {{' || array_to_string(v, ', ') || '}}' AS expression, 0.82::DOUBLE AS strength FROM x WHERE name <> '' AND len(v) BETWEEN 2 AND 50")
+def dct1_switch_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that the first switch of a body tells apart, two to fifty (the rule's own bounds)."""
+    found = language_bodies(spark, sf_dir).select("body_hash", F.regexp_extract("body_source", _SWITCH, 1).alias("name"), F.regexp_extract_all(F.regexp_extract("body_source", _SWITCH, 2), F.lit(_CASE), F.lit(1)).alias("v"))
+    return found.where((F.col("name") != "") & F.size("v").between(2, 50)).select("body_hash", F.concat(F.lit("enum_restriction:"), "name", F.lit(" in {"), F.array_join("v", ", "), F.lit("}")).alias("expression"), F.lit(0.82).alias("strength"))
+
+
 QUERIES, SQL = r.queries, r.sql

@@ -101,3 +101,34 @@ def test_homolog_candidates(spark):
     alike = [(f"i{i:03d}", "r", "k", "pure", None, "h", None, None, None) for i in range(300)]
     assert len(rows(homolog.candidates(spark.createDataFrame(alike, schema)))) <= 300 * 51
     assert rows(homolog.candidates(spark.createDataFrame([], schema))) == []
+
+
+BODY = """assert (a > f(b)); if (!user.id) { throw x } if (n === null) return;
+typeof v === 'string'; e instanceof TypeError; Array.isArray(xs); isNaN(q);
+c ?? 3; o?.p; if (k === undefined) {} Math.max(0, Math.min(9, w)); if (s.length >= 4) {} if (t > 10) {}
+['x', 'y'].includes(mode); name.trim(); parseInt(raw, 10); JSON.parse(body)
+@Min(3) @Roles('admin') @Length(2, 5)
+if (r < 1 || r > 9) {} switch (kind) { case 'a': case "b": }"""
+
+
+def test_invariants_of_every_family_in_both_engines(spark):
+    import duckdb
+
+    from sedgewire.functions import patterns as P
+
+    df = spark.createDataFrame([("h", BODY), ("e", ""), ("n", None)], "body_hash string, body_source string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE b (t VARCHAR)")
+    con.execute("INSERT INTO b VALUES (?)", [BODY])
+    told = {}
+    for name, rules in P.INVARIANTS.items():
+        got = {r.expression for r in df.selectExpr("*").select(P.invariants(df["body_source"], rules).alias("i")).selectExpr("explode(i) AS i").select("i.*").collect()}
+        want = {r[0] for r in con.execute(f"SELECT i.expression FROM (SELECT unnest({P.invariants_sql('t', rules)}) AS i FROM b)").fetchall()}
+        assert got == want and got, name
+        told[name] = got
+    assert told["assertions"] == {"assert:a > f(b)"}
+    assert told["guards"] == {"guard_clause:!user.id => throw", "guard_clause:n === null => early_return"}
+    assert "type_guard:typeof v === 'string'" in told["type_guards"] and "null_check:k explicitly checked against null/undefined" in told["null_checks"]
+    assert {"range_clamp:w clamped to [0, 9]", "boundary_check:t > 10", "length_check:s.length >= 4"} <= told["ranges"]
+    assert told["decorators"] == {"decorator_range:min=3", "decorator_auth:requires role 'admin'", "decorator_length:length=[2, 5]"}
+    assert told["enums"] == {"enum_restriction:mode in ['x', 'y']"} and "normalization:raw parsed as integer" in told["normalizations"]
