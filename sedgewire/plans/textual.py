@@ -266,15 +266,26 @@ def st10_sim7_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.banded(g.where(~H.is_empty_signature(F.col("s"))).distinct(), "body_hash", "s").select("body_hash", F.col("band").cast("long").alias("band"), "hash")
 
 
+def _signature_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(body_hash, class, s): bodies of one signature are a class, named by its smallest hash."""
+    return _signatures(spark, sf_dir).withColumn("class", F.min("body_hash").over(Window.partitionBy("s")))
+
+
 @r.query()
 def sim11_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies that share a band with another one, up to 50 best per body (the operator's top k)."""
-    g = _signatures(spark, sf_dir).groupBy("s").agg(F.min("body_hash").alias("body_hash"))  # one body per signature
+    """Classes of bodies (sim11_members) that share a band with another one, up to 50 best per class (the operator's top k)."""
+    g = _signature_classes(spark, sf_dir).where("body_hash = class").select("body_hash", "s")
     near = V.band_neighbours(g, g, "body_hash", "s", 0.05)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "body_hash")
     return near.withColumn("rank", F.row_number().over(w)).where("rank <= 50").select("query", "body_hash", F.round("similarity", 6).alias("similarity"))
 
 
+@r.query()
+def sim11_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every body with the class it belongs to: those of a class have the same signature, hence every link of the class."""
+    return _signature_classes(spark, sf_dir).select("body_hash", "class")
+
+
 @r.query(
     _BODY_TOKENS + _TF + ", " + _IDF + ", " + _VEC + ", q0 AS (SELECT unnest(['compress', 'token', 'fleet', 'error']) AS w), q1 AS (SELECT q0.w, coalesce(idf, ln(1 + (SELECT count(*) FROM b)::DOUBLE)) AS x FROM q0 LEFT JOIN idf USING (w)), q AS (SELECT w, x / sqrt(sum(x * x) OVER ()) AS x FROM q1), "
     "sc AS (SELECT k, sum(vec.x * q.x) AS c FROM vec JOIN q USING (w) GROUP BY 1), m AS (SELECT DISTINCT v.body_hash, s.symbol_id, s.kind FROM symbol_versions v JOIN symbols s USING (symbol_id)) "
