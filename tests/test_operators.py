@@ -103,6 +103,38 @@ def test_homolog_candidates(spark):
     assert rows(homolog.candidates(spark.createDataFrame([], schema))) == []
 
 
+def test_homolog_pairs_across_blocks(spark, monkeypatch):
+    from sedgewire.functions import hashing as H
+    from sedgewire.operators import homolog
+
+    sig = list(range(128))
+    data = [(f"i{k}", "r", "k", "pure", f"loadOrder{k}", f"h{k}", f"x{k}", None, [1000 * k + 7] * 8 + sig[8:] if k % 2 else None) for k in range(12)]
+    symbols = spark.createDataFrame(data, "id string, repo_id string, kind string, purity string, name string, body_hash string, ast_hash string, normalized_ast_hash string, s array<bigint>")
+    whole = rows(homolog.candidates(symbols))
+    monkeypatch.setattr(homolog, "BLOCK", 4)
+    assert rows(homolog.candidates(symbols)) == whole and len(whole) == 66
+    # a symbol travels once for each pair of blocks, not once for each pair of symbols
+    numbered = H.packed(symbols.selectExpr("cast(substring(id, 2) as bigint) no", "id", "repo_id", "s", "kind", "array(name, kind) words"), "s")
+    pairs = numbered.selectExpr("no a", "1 k").join(numbered.selectExpr("no b", "1 k"), "k").where("a < b").select("a", "b")
+    got = homolog.beside(numbered, pairs, ["kind"], ["words"], ["id"])
+    assert {(r.id_a, r.id_b, r.same_kind, r.shared_words) for r in got.collect()} == {(f"i{a}", f"i{b}", True, 1) for a in range(12) for b in range(a + 1, 12)}
+    assert {(r.id_a, r.id_b): r.places for r in got.collect()}["i1", "i3"] == 120
+    assert {r.places for r in got.where("id_a = 'i0'").collect()} == {0}
+
+
+def test_packed_signatures(spark):
+    import pyarrow as pa
+
+    from sedgewire.functions import hashing as H
+
+    data = [(1, list(range(128))), (2, [H.EMPTY] * 128), (3, None), (4, [5, None, 1 << 40])]
+    got = {r.k: r.s for r in H.packed(spark.createDataFrame(data, "k int, s array<bigint>"), "s").collect()}
+    assert got[2] is None and got[3] is None and len(got[1]) == 512
+    places = H.unpacked(pa.array([got[1], got[4], None], pa.binary()))
+    assert places[0].tolist() == data[0][1] and places[1, :4].tolist() == [5, -1, 1 << 40, -1]
+    assert H.equal_places(places, places).tolist() == [128, 2, 0]
+
+
 BODY = """assert (a > f(b)); if (!user.id) { throw x } if (n === null) return;
 typeof v === 'string'; e instanceof TypeError; Array.isArray(xs); isNaN(q);
 c ?? 3; o?.p; if (k === undefined) {} Math.max(0, Math.min(9, w)); if (s.length >= 4) {} if (t > 10) {}
