@@ -122,6 +122,36 @@ def test_homolog_pairs_across_blocks(spark, monkeypatch):
     assert {r.places for r in got.where("id_a = 'i0'").collect()} == {0}
 
 
+def test_symbols_travel_to_the_blocks_of_their_own_repository_only(spark, monkeypatch):
+    from sedgewire.functions import hashing as H
+    from sedgewire.operators import homolog
+
+    monkeypatch.setattr(homolog, "BLOCK", 4)
+    data = [(n, f"i{n}", "large" if n < 6 else "small", None, "k", ["w"]) for n in range(8)]
+    symbols = H.packed(spark.createDataFrame(data, "no long, id string, repo_id string, s array<bigint>, kind string, words array<string>"), "s")
+    sent, run = [], type(symbols).mapInArrow
+    monkeypatch.setattr(type(symbols), "mapInArrow", lambda df, *args: (sent.append(df.where("part = 0").count()), run(df, *args))[1])
+    got = homolog.beside(symbols, spark.createDataFrame([(0, 5), (6, 7)], "a long, b long"), ["kind"], ["words"], ["id"])
+    assert sorted((r.id_a, r.id_b, r.same_kind, r.shared_words) for r in got.collect()) == [("i0", "i5", True, 1), ("i6", "i7", True, 1)]
+    assert sent == [6 * 2 + 2]  # the small repository shares a block with the large one, but none of its pairs
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    from sedgewire.runtime import store
+
+    blocks = lambda: {str(b) for b in iterate(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().iterator()) if str(b).startswith("shuffle")}
+
+    def iterate(found):
+        while found.hasNext():
+            yield found.next().name()
+
+    before = blocks()
+    kept = store(spark.range(1000).repartition(3, "id"))
+    assert not blocks() - before and kept.count() == 1000
+    spark.range(1000).repartition(3, "id").write.format("noop").mode("overwrite").save()
+    assert blocks() - before  # other queries of the session keep theirs
+
+
 def test_packed_signatures(spark):
     import pyarrow as pa
 
